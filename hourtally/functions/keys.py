@@ -38,8 +38,6 @@ def hour_of_token(token: Column) -> Column:
 def token_of_key(key: Column) -> Column:
     """The ``<date>/<hour>`` text inside a log key, unchecked; NULL without one.
 
-    Cheap enough for every line of a scan: group by it, then turn the few
-    distinct tokens into hours.
     """
     tail = _tail(key)
     return F.nullif(
@@ -48,12 +46,18 @@ def token_of_key(key: Column) -> Column:
 
 
 def token_of_file_path(path: Column) -> Column:
-    """Like ``token_of_key`` for the path of a file that a scan reports."""
-    return F.regexp_extract(
+    """The same for the path of a scanned file, as ``<date>/<HH>``; empty without one.
+
+    Meant for every line of a scan, so it matches only the last path segments
+    and pads the hour with plain string functions.
+    """
+    token = F.regexp_extract(
         F.substring_index(path, "/", -3),
         r"(?:\A|/|date=)([0-9]{4}-[0-9]{2}-[0-9]{2}/(?:hour=)?[0-9]{1,2})(?:/[^/]*|\.log\.json)\z",
         1,
     )
+    hour = F.substring_index(F.substring_index(token, "/", -1), "=", -1)
+    return F.concat(F.substring(token, 1, 11), F.lpad(hour, 2, "0"))
 
 
 def hour_from_key(key: Column) -> Column:
