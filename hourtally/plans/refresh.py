@@ -87,19 +87,20 @@ def count_hours(
     return counts.unionByName(listed)
 
 
-def _refresh(
-    spark: SparkSession,
-    logs_root: str,
-    analytics_root: str,
-    dates: list[str] | None,
-    hour: datetime | None,
-    layout: str,
-    max_line_bytes: int,
-    max_scan_paths: int,
-    max_document_bytes: int,
-) -> RefreshReport:
-    listing = list_objects(spark, logs_root, dates)
-    if layout == "flat":
+@dataclass(frozen=True)
+class _Options:
+    dates: list[str] | None
+    hour: datetime | None
+    layout: str
+    max_line_bytes: int
+    max_scan_paths: int
+    max_document_bytes: int
+
+
+def _locate(spark: SparkSession, logs_root: str, options: _Options) -> tuple[DataFrame, DataFrame]:
+    """The log files with their hours, and the log files that have none."""
+    listing = list_objects(spark, logs_root, options.dates)
+    if options.layout == "flat":
         objects = flat_objects(listing, qualified_path(spark, logs_root))
         skipped = listing.where(F.endswith("key", F.lit(LOG_SUFFIX))).join(
             objects.select("key"), "key", "left_anti"
@@ -107,27 +108,64 @@ def _refresh(
     else:
         objects = log_objects(listing)
         skipped = unexpected_objects(listing)
-    if hour is not None:
-        start = hour.astimezone(timezone.utc).strftime("%Y-%m-%d %H:00:00")
+    if options.hour is not None:
+        start = options.hour.astimezone(timezone.utc).strftime("%Y-%m-%d %H:00:00")
         objects = objects.where(F.col("hour") == F.lit(start).cast("timestamp"))
-    folders = materialize(hour_folders(objects))
-    newest = folders.groupBy("hour").agg(F.max("latest").alias("latest"))
-    stale = materialize(stale_hours(newest, list_summaries(spark, summaries_path(analytics_root), dates)))
-    stale_count = stale.count()
-    skipped_count = skipped.count()
-    if stale_count == 0:
-        return RefreshReport(skipped_objects=skipped_count)
-    to_read = folders.join(stale.select("hour"), "hour", "left_semi")
-    counts = materialize(count_hours(spark, logs_root, to_read, max_line_bytes, max_scan_paths))
+    return objects, skipped
+
+
+def _state_of_hours(folders: DataFrame) -> DataFrame:
+    return folders.groupBy("hour").agg(
+        F.sum("objects").alias("objects"), F.sum("bytes").alias("bytes"), F.max("latest").alias("latest")
+    )
+
+
+def _missed_hours(before: DataFrame, now: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Hours that changed while they were counted and yet look fresh.
+
+    A log written after the listing but before the summary is older than the
+    summary that lacks it. Hours with still newer logs are stale anyway and
+    left to the next run.
+    """
+    seen = before.select("hour", F.struct("objects", "bytes", "latest").alias("seen"))
+    changed = now.join(seen, "hour").where(F.struct("objects", "bytes", "latest") != F.col("seen"))
+    return changed.drop("seen").join(stale_hours(now, summaries).select("hour"), "hour", "left_anti")
+
+
+def _summarise(
+    spark: SparkSession, logs_root: str, analytics_root: str, to_read: DataFrame, hours: int, options: _Options
+) -> tuple[int, int]:
+    """Count the hours and replace their summaries; returns failed hours and malformed lines."""
+    counts = materialize(count_hours(spark, logs_root, to_read, options.max_line_bytes, options.max_scan_paths))
     failed = oversized_hours(counts).select("hour").distinct()
-    failed_count = failed.count()
-    good = semi_join_hours(counts, failed, "left_anti") if failed_count else counts
-    malformed = counts.where(F.col("dim") == DIM_MALFORMED).agg(F.sum("requests")).first()[0]
-    if failed_count < stale_count:
+    malformed = counts.where(F.col("dim") == DIM_MALFORMED).agg(F.sum("requests")).first()[0] or 0
+    failed_hours = failed.count()
+    good = semi_join_hours(counts, failed, "left_anti") if failed_hours else counts
+    if failed_hours < hours:
         # The summary marks an hour as done, so it is written last.
         write_counts(good, counts_path(analytics_root))
-        write_documents(summary_documents(good, max_document_bytes), summaries_path(analytics_root))
-    return RefreshReport(stale_count - failed_count, failed_count, malformed or 0, skipped_count)
+        write_documents(summary_documents(good, options.max_document_bytes), summaries_path(analytics_root))
+    return failed_hours, malformed
+
+
+def _refresh(spark: SparkSession, logs_root: str, analytics_root: str, options: _Options) -> RefreshReport:
+    def look() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        objects, skipped = _locate(spark, logs_root, options)
+        folders = materialize(hour_folders(objects))
+        summaries = list_summaries(spark, summaries_path(analytics_root), options.dates)
+        return folders, _state_of_hours(folders), summaries, skipped
+
+    folders, state, summaries, skipped = look()
+    todo = materialize(stale_hours(state, summaries))
+    skipped_objects = skipped.count()
+    refreshed, failed, malformed = 0, 0, 0
+    while hours := todo.count():
+        to_read = folders.join(todo.select("hour"), "hour", "left_semi")
+        failed_now, malformed_now = _summarise(spark, logs_root, analytics_root, to_read, hours, options)
+        refreshed, failed, malformed = refreshed + hours - failed_now, failed + failed_now, malformed + malformed_now
+        folders, state, summaries, _ = look()
+        todo = materialize(_missed_hours(todo, state, summaries))
+    return RefreshReport(refreshed, failed, malformed, skipped_objects)
 
 
 def refresh(
@@ -150,9 +188,8 @@ def refresh(
     started = datetime.now(timezone.utc)
     report, error = None, None
     try:
-        report = _refresh(
-            spark, logs_root, analytics_root, dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes
-        )
+        options = _Options(dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes)
+        report = _refresh(spark, logs_root, analytics_root, options)
         return report
     except BaseException as problem:
         error = type(problem).__name__

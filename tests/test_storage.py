@@ -19,6 +19,7 @@ from hourtally.functions.keys import (
 )
 from hourtally.operators.counters import run_counters
 from hourtally.operators.documents import summary_documents
+import hourtally.plans.refresh as refresh_module
 from hourtally.plans.ingest import publish_batches, store_batches
 from hourtally.plans.refresh import (
     RefreshReport,
@@ -327,6 +328,26 @@ def test_freshness_boundary(spark, tmp_path):
     }
 
 
+def test_log_written_while_counting(spark, tmp_path, monkeypatch):
+    """A log that arrives after the listing but before the summary is not lost."""
+    logs, out = tmp_path / "logs", tmp_path / "out"
+    put(logs, "2025-11-15/14/a.log.json", [line()], 1_000)
+    put(logs, "2025-11-15/15/a.log.json", [line()], 1_000)
+    real = refresh_module.write_documents
+    written = []
+
+    def slow_write(documents, root):
+        if not written:
+            put(logs, "2025-11-15/14/b.log.json", [line("/late")], 2_000)
+        written.append(root)
+        real(documents, root)
+
+    monkeypatch.setattr(refresh_module, "write_documents", slow_write)
+    assert refresh(spark, str(logs), str(out)).refreshed_hours == 3
+    assert len(written) == 2
+    assert summaries(spark, out)["2025-11-15T14:00:00Z"][0] == {"/home": 1, "/late": 1}
+
+
 def test_single_hour(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
     put(logs, "2025-11-15/14.log.json", [line()])
