@@ -1,11 +1,13 @@
 """Strict JSON decoding of log records.
 
 ``from_json`` alone is too forgiving here: it ignores text after the document,
-turns a number into a string and knows only one spelling of a key. So:
+turns a number into a string and knows only one spelling of a key. So a pattern
+or a type check comes first, the cheapest one that settles the text:
 
-* Text made only of objects whose three known keys hold strings is recognised
-  by a pattern. The pattern is the strict check, and the values then come from
-  a plain split or from ``from_json``. Nearly all log lines take this way.
+* A line in the form this library writes is recognised by one pattern and split
+  at its quotes. Nearly all stored lines take this way.
+* Objects whose three known keys hold strings, in any order, with escapes and
+  white space, are recognised by a second pattern and read by ``from_json``.
 * Anything else is parsed as a VARIANT and its types are checked one by one.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hourtally.functions.expressions import bind
-from hourtally.functions.timestamps import ZERO_TIME, parse_rfc3339
+from hourtally.functions.timestamps import PLAIN_TIME, ZERO_TIME, parse_rfc3339
 
 _WS = r"[ \t\r\n]*+"
 _STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
@@ -25,6 +27,12 @@ _OBJECT = rf"\{{{_WS}{_PAIR}(?:,{_WS}{_PAIR})*+\}}"
 PLAIN_LINE = rf"\A{_WS}{_OBJECT}{_WS}\z"
 PLAIN_BODY = rf"\A{_WS}\[{_WS}{_OBJECT}{_WS}(?:,{_WS}{_OBJECT}{_WS})*+\]{_WS}\z"
 
+_BARE_STRING = r'"[^"\\\x00-\x1f]*+"'
+STORED_LINE = (
+    rf'\A\{{"timestamp":"{PLAIN_TIME}","path":{_BARE_STRING},"userAgent":{_BARE_STRING}\}}[ \t\r]*+\z'
+)
+
+FIELDS = ("timestamp", "path", "userAgent")
 _TEXT_RECORD = "timestamp STRING, path STRING, userAgent STRING"
 TEXT_RECORDS = f"ARRAY<STRUCT<{_TEXT_RECORD}>>"
 
@@ -37,25 +45,26 @@ def strict_document(text: Column) -> Column:
     element, and no text can contain its own hash by accident.
     """
     mark = F.xxhash64(text).cast("string")
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    pair = F.from_json(
+        F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')),
+        "ARRAY<VARIANT>",
+        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
+    )
     return bind(
         pair,
-        lambda v: F.when(
-            (F.try_variant_get(v, "$[1]", "string") == mark)
-            & F.try_variant_get(v, "$[2]", "variant").isNull(),
-            F.try_variant_get(v, "$[0]", "variant"),
+        lambda p: F.when(
+            (F.size(p) == 2) & (F.try_variant_get(F.get(p, F.lit(1)), "$", "string") == mark),
+            F.get(p, F.lit(0)),
         ),
     )
 
 
-def _member(doc: Column, name: str) -> Column:
+def _member(members: Column, name: str) -> Column:
     """A member by its exact name, else by any spelling of it, the last one first."""
-    exact = F.try_variant_get(doc, f"$.{name}", "variant")
-    spelled = F.filter(
-        F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>")),
-        lambda entry: F.lower(entry["key"]) == name.lower(),
+    spelled = F.filter(F.map_entries(members), lambda entry: F.lower(entry["key"]) == name.lower())
+    return F.coalesce(
+        F.try_element_at(members, F.lit(name)), F.try_element_at(spelled, F.lit(-1))["value"]
     )
-    return F.coalesce(exact, F.try_element_at(spelled, F.lit(-1))["value"])
 
 
 def _text_of(member: Column) -> Column:
@@ -77,21 +86,21 @@ def record_of_variant(doc: Column) -> Column:
 
     ``null`` and missing members leave the fields NULL.
     """
-    is_object = F.try_variant_get(doc, "$", "map<string,variant>").isNotNull()
-    fields = F.struct(*[_text_of(_member(doc, n)).alias(n) for n in ("timestamp", "path", "userAgent")])
-    return F.when(
-        F.is_variant_null(doc) | is_object,
+    no_fields = F.struct(*[F.lit(None).cast("string").alias(name) for name in FIELDS])
+    return F.when(F.is_variant_null(doc), no_fields).otherwise(
         bind(
-            fields,
-            lambda f: F.when(
-                f["timestamp"]["ok"] & f["path"]["ok"] & f["userAgent"]["ok"],
-                F.struct(
-                    f["timestamp"]["text"].alias("timestamp"),
-                    f["path"]["text"].alias("path"),
-                    f["userAgent"]["text"].alias("userAgent"),
+            F.try_variant_get(doc, "$", "map<string,variant>"),
+            lambda members: F.when(
+                members.isNotNull(),
+                bind(
+                    F.struct(*[_text_of(_member(members, name)).alias(name) for name in FIELDS]),
+                    lambda f: F.when(
+                        f["timestamp"]["ok"] & f["path"]["ok"] & f["userAgent"]["ok"],
+                        F.struct(*[f[name]["text"].alias(name) for name in FIELDS]),
+                    ),
                 ),
             ),
-        ),
+        )
     )
 
 
@@ -113,22 +122,12 @@ def typed_record(record: Column) -> Column:
     )
 
 
-def plain_line_parts(line: Column) -> Column:
-    """The line split at its quotes, for a plain line without escapes.
+def stored_line_parts(line: Column) -> Column:
+    """A line in stored form split at its quotes, NULL for any other line.
 
-    With the keys in the usual order there are 13 parts: the values are parts
-    3, 7 and 11, the names parts 1, 5 and 9.
+    The values are the parts 3, 7 and 11; the timestamp needs only a cast.
     """
-    return F.when(line.rlike(PLAIN_LINE) & ~F.contains(line, F.lit("\\")), F.split(line, '"', -1))
-
-
-def in_usual_order(parts: Column) -> Column:
-    return (
-        (F.size(parts) == 13)
-        & (parts[1] == "timestamp")
-        & (parts[5] == "path")
-        & (parts[9] == "userAgent")
-    )
+    return F.when(line.rlike(STORED_LINE), F.split(line, '"', -1))
 
 
 def record_of_line(line: Column) -> Column:

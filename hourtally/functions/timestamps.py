@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hourtally.functions.expressions import bind
-
 # What ``cast`` reads the same way as RFC 3339 does.
-_PLAIN = (
-    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]++)?"
-    r"(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])\z"
+PLAIN_TIME = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]++)?"
+    r"(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])"
 )
+_PLAIN = rf"\A{PLAIN_TIME}\z"
 # Also accepted: a one-digit hour, a comma before the fraction, and offsets up
-# to 24:60. Groups: date, time, fraction digits, sign, offset hours, minutes.
+# to 24:60. Groups: date and time, fraction digits, offset.
 _LENIENT = (
-    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{1,2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]++))?"
-    r"(?:Z|([+-])([01][0-9]|2[0-4]):([0-5][0-9]|60))\z"
+    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]++))?"
+    r"(Z|[+-](?:[01][0-9]|2[0-4]):(?:[0-5][0-9]|60))\z"
 )
 
 ZERO_TIME = "0001-01-01 00:00:00Z"
 
 
 def _parse_lenient(text: Column) -> Column:
-    part = lambda group: F.regexp_extract(text, _LENIENT, group)
-    local = F.concat(part(1), F.lit(" "), part(2), F.lit("."), part(3), F.lit("0Z"))
-    offset = F.coalesce(part(5).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(
-        part(6).try_cast("int"), F.lit(0)
-    ) * 60
-    signed = F.when(part(4) == "-", -offset).otherwise(offset)
-    return local.try_cast("timestamp") - F.make_dt_interval(secs=signed)
+    """The local time read as UTC, less the offset; the offset has a fixed width."""
+    local = F.regexp_replace(text, _LENIENT, "$1.$20Z").try_cast("timestamp")
+    number = lambda start: F.substring(text, start, 2).try_cast("int")
+    seconds = number(-5) * 3600 + number(-2) * 60
+    return (
+        F.when(F.endswith(text, F.lit("Z")), local)
+        .when(F.substring(text, -6, 1) == "-", local + F.make_dt_interval(secs=seconds))
+        .otherwise(local - F.make_dt_interval(secs=seconds))
+    )
 
 
 def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text with an offset or ``Z`` as TIMESTAMP; NULL for anything else."""
     return F.when(text.rlike(_PLAIN), text.try_cast("timestamp")).when(
-        text.rlike(_LENIENT), bind(text, _parse_lenient)
+        text.rlike(_LENIENT), _parse_lenient(text)
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourtally.functions.keys import LOG_SUFFIX, hour_from_key
+from hourtally.operators.ingest import keep_when
 from hourtally.schema import DIM_OVERSIZED
 
 
@@ -16,11 +17,9 @@ def log_objects(listing: DataFrame) -> DataFrame:
     and keys without a date and hour are left out. Files below ``date=/hour=``
     folders count whatever their suffix.
     """
-    return (
-        listing.where(F.endswith("key", F.lit(LOG_SUFFIX)) | F.contains(F.col("key"), F.lit("/hour=")))
-        .withColumn("hour", hour_from_key(F.col("key")))
-        .where(F.col("hour").isNotNull())
-    )
+    is_log = F.endswith("key", F.lit(LOG_SUFFIX)) | F.contains(F.col("key"), F.lit("/hour="))
+    located = listing.withColumn("hour", F.when(is_log, hour_from_key(F.col("key"))))
+    return keep_when(located, F.col("hour").isNotNull(), *listing.columns, "hour")
 
 
 def unexpected_objects(listing: DataFrame) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from hourtally.functions.expressions import trim_space
 from hourtally.functions.json_records import (
-    in_usual_order,
-    plain_line_parts,
     record_of_line,
+    stored_line_parts,
     typed_record,
 )
 from hourtally.schema import DIM_MALFORMED, DIM_OVERSIZED, DIM_PATH, DIM_USER_AGENT
@@ -26,20 +25,18 @@ def decode_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Data
     """
     value, parts, text = F.col("value"), F.col("_parts"), F.col("_text")
     too_long = F.octet_length(value) >= max_line_bytes
-    split_text = F.when(
-        in_usual_order(parts),
-        F.struct(parts[3].alias("timestamp"), parts[7].alias("path"), parts[11].alias("userAgent")),
+    stored = F.struct(
+        parts[3].try_cast("timestamp").alias("timestamp"), parts[7].alias("path"), parts[11].alias("userAgent")
     )
     return (
-        lines.withColumn("_parts", F.when(~too_long, plain_line_parts(value)))
-        .withColumn("_split", split_text)
+        lines.withColumn("_parts", F.when(~too_long, stored_line_parts(value)))
+        .withColumn("_text", F.when(parts.isNull() & ~too_long, record_of_line(trim_space(value))))
         .withColumn(
-            "_text",
-            F.when(F.col("_split").isNotNull(), F.col("_split")).when(
-                ~too_long, record_of_line(trim_space(value))
+            "record",
+            F.when(parts.isNotNull(), F.when(parts[3].try_cast("timestamp").isNotNull(), stored)).when(
+                text.isNotNull(), typed_record(text)
             ),
         )
-        .withColumn("record", F.when(text.isNotNull(), typed_record(text)))
         .withColumn(
             "line_state",
             F.when(too_long, F.lit("oversized"))
@@ -47,7 +44,7 @@ def decode_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Data
             .when(trim_space(value) == "", F.lit("blank"))
             .otherwise(F.lit("malformed")),
         )
-        .drop("value", "_parts", "_split", "_text")
+        .drop("value", "_parts", "_text")
     )
 
 

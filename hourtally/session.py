@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,22 @@ def build_session(app: str = "hourtally", master: str | None = None, **conf: str
     return configure(builder.getOrCreate())
 
 
+@contextmanager
+def spread_writes(spark: SparkSession) -> Iterator[None]:
+    """Keep the reducers of a rebalancing shuffle apart while writing hourly folders.
+
+    A small hour lies in one reducer, so merging reducers would not save a
+    single file; it would only make fewer tasks write them all.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one where none is set."""
     context = spark.sparkContext

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourtally.functions.json_records import record_to_json
 from hourtally.functions.timestamps import date_token, format_rfc3339, hour_token
+from hourtally.session import spread_writes
 
 # The accepted codec names and what Spark and Kafka call them.
 CODECS = {
@@ -47,11 +48,12 @@ def write_hourly(records: DataFrame, root: str, compression: str = "none", rebal
     )
     if rebalance:
         encoded = encoded.hint("rebalance", "date", "hour")
-    (
+    writer = (
         encoded.sortWithinPartitions("date", "hour")
         .write.partitionBy("date", "hour")
         .mode("append")
         .option("lineSep", "\n")
         .option("compression", compression_option(compression))
-        .text(root)
     )
+    with spread_writes(records.sparkSession):
+        writer.text(root)
