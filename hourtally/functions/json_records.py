@@ -68,16 +68,11 @@ def _member(members: Column, name: str) -> Column:
 
 
 def _text_of(member: Column) -> Column:
-    """``struct(ok, text)``: absent and null give an empty result, other types are wrong."""
-    return bind(
-        member,
-        lambda m: bind(
-            F.when(m.isNull() | F.is_variant_null(m), F.lit("VOID")).otherwise(F.schema_of_variant(m)),
-            lambda kind: F.struct(
-                kind.isin("VOID", "STRING").alias("ok"),
-                F.when(kind == "STRING", F.try_variant_get(m, "$", "string")).alias("text"),
-            ),
-        ),
+    """``struct(ok, text)``: absent and null give no text, other types are wrong."""
+    kind = F.coalesce(F.schema_of_variant(member), F.lit("VOID"))
+    return F.struct(
+        kind.isin("VOID", "STRING").alias("ok"),
+        F.when(kind == "STRING", F.try_variant_get(member, "$", "string")).alias("text"),
     )
 
 
@@ -93,7 +88,7 @@ def record_of_variant(doc: Column) -> Column:
             lambda members: F.when(
                 members.isNotNull(),
                 bind(
-                    F.struct(*[_text_of(_member(members, name)).alias(name) for name in FIELDS]),
+                    F.struct(*[bind(_member(members, name), _text_of).alias(name) for name in FIELDS]),
                     lambda f: F.when(
                         f["timestamp"]["ok"] & f["path"]["ok"] & f["userAgent"]["ok"],
                         F.struct(*[f[name]["text"].alias(name) for name in FIELDS]),

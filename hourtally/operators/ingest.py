@@ -45,25 +45,21 @@ def _checked(records: Column, problem_of) -> Column:
     """Normalised records, each with its decoding problem and its missing field."""
 
     def check(record: Column, index: Column) -> Column:
-        def verdict(r: Column) -> Column:
-            missing = (
-                F.when(is_zero_time(r["timestamp"]), F.lit("timestamp"))
-                .when(r["path"] == "", F.lit("path"))
-                .when(r["userAgent"] == "", F.lit("userAgent"))
-            )
-            return F.struct(
-                r.alias("record"),
-                problem_of(record, r["timestamp"]).alias("problem"),
-                F.concat(F.lit("record "), index.cast("string"), F.lit(" missing "), missing).alias("missing"),
-            )
-
         return bind(
             F.struct(
                 parse_rfc3339(record["timestamp"]).alias("timestamp"),
                 trim_space(F.coalesce(record["path"], F.lit(""))).alias("path"),
                 trim_space(F.coalesce(record["userAgent"], F.lit(""))).alias("userAgent"),
             ),
-            verdict,
+            lambda r: F.struct(
+                r.alias("record"),
+                problem_of(record, r["timestamp"]).alias("problem"),
+                F.when(is_zero_time(r["timestamp"]), F.lit("timestamp"))
+                .when(r["path"] == "", F.lit("path"))
+                .when(r["userAgent"] == "", F.lit("userAgent"))
+                .alias("missing"),
+                index.alias("index"),
+            ),
         )
 
     return F.transform(records, check)
@@ -94,7 +90,7 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
         .withColumn("_json", F.when(kind == "json", json_records.records_of_body(F.col("_body"))))
         .withColumn("_rows", F.when(kind == "csv", csv_records.rows_of_body(F.col("_body"))))
         .withColumn("_even", csv_records.rows_are_even(F.col("_rows")))
-        .withColumn("_csv", F.when(F.col("_even"), csv_records.records_of_rows(F.col("_rows"))))
+        .withColumn("_csv", F.when(F.col("_even"), csv_records.records_of_rows(F.col("_rows"), F.col("_body"))))
         .withColumn(
             "_checked",
             F.when(kind == "json", _checked(F.col("_json"), _json_problem)).when(
@@ -102,9 +98,17 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
             ),
         )
     )
-    checked = F.col("_checked")
-    problem = first_not_null(F.transform(checked, lambda c: c["problem"]))
-    missing = first_not_null(F.transform(checked, lambda c: c["missing"]))
+    decoded = decoded.withColumn(
+        "_bad", F.filter("_checked", lambda c: c["problem"].isNotNull() | c["missing"].isNotNull())
+    )
+    checked, bad = F.col("_checked"), F.col("_bad")
+    problem = first_not_null(F.transform(bad, lambda c: c["problem"]))
+    missing = first_not_null(
+        F.transform(
+            bad,
+            lambda c: F.concat(F.lit("record "), c["index"].cast("string"), F.lit(" missing "), c["missing"]),
+        )
+    )
     reason = (
         F.when(
             kind == "unsupported",
@@ -130,7 +134,7 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
             "records",
             F.when(F.col("status") == ACCEPTED, F.transform(checked, lambda c: c["record"])),
         )
-        .drop("_body", "_kind", "_json", "_rows", "_even", "_csv", "_checked")
+        .drop("_body", "_kind", "_json", "_rows", "_even", "_csv", "_checked", "_bad")
     )
 
 
