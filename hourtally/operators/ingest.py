@@ -28,14 +28,14 @@ def keep_when(df: DataFrame, condition: Column, *columns: str) -> DataFrame:
     return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
 
 
-def _media_kind(content_type: Column, body: Column, max_body_bytes: int) -> Column:
+def _media_kind(content_type: Column, body_bytes: Column, max_body_bytes: int) -> Column:
     media = F.coalesce(content_type, F.lit(""))
     return (
         F.when(
             ~F.contains(media, F.lit("application/json")) & ~F.contains(media, F.lit("text/csv")),
             F.lit("unsupported"),
         )
-        .when(F.octet_length(body) > max_body_bytes, F.lit("large"))
+        .when(body_bytes > max_body_bytes, F.lit("large"))
         .when(F.contains(media, F.lit("application/json")), F.lit("json"))
         .otherwise(F.lit("csv"))
     )
@@ -80,13 +80,16 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
     """Each batch with ``status``, ``reason`` and, when accepted, its ``records``.
 
     The reason is empty for an accepted batch. Checks run in a fixed order:
-    media type, size, syntax, then the records one by one.
+    media type, size, syntax, then the records one by one. A ``body_bytes``
+    column, where there is one, gives the size in place of the body itself.
     """
+    sized = "body_bytes" in batches.columns
+    body_bytes = F.col("body_bytes") if sized else F.octet_length("_body")
     body = F.coalesce(F.col("body"), F.lit(""))
     kind = F.col("_kind")
     decoded = (
         batches.withColumn("_body", body)
-        .withColumn("_kind", _media_kind(F.col("content_type"), F.col("_body"), max_body_bytes))
+        .withColumn("_kind", _media_kind(F.col("content_type"), body_bytes, max_body_bytes))
         .withColumn("_json", F.when(kind == "json", json_records.records_of_body(F.col("_body"))))
         .withColumn("_rows", F.when(kind == "csv", csv_records.rows_of_body(F.col("_body"))))
         .withColumn("_even", csv_records.rows_are_even(F.col("_rows")))

@@ -13,7 +13,7 @@ from hourtally.operators.documents import MAX_DOCUMENT_BYTES, summary_documents
 from hourtally.operators.freshness import log_objects, oversized_hours, stale_hours, unexpected_objects
 from hourtally.operators.lines import MAX_LINE_BYTES, count_decoded, decode_lines
 from hourtally.schema import DIM_LISTED, DIM_MALFORMED
-from hourtally.session import materialize, semi_join_hours
+from hourtally.session import materialize, semi_join_hours, work_folder
 from hourtally.sinks.summaries import write_counts, write_documents
 from hourtally.sources.hourly_logs import read_lines
 from hourtally.sources.listing import flat_objects, list_objects, list_summaries, qualified_path
@@ -133,10 +133,17 @@ def _missed_hours(before: DataFrame, now: DataFrame, summaries: DataFrame) -> Da
 
 
 def _summarise(
-    spark: SparkSession, logs_root: str, analytics_root: str, to_read: DataFrame, hours: int, options: _Options
+    spark: SparkSession,
+    logs_root: str,
+    analytics_root: str,
+    to_read: DataFrame,
+    hours: int,
+    options: _Options,
+    folder: str,
 ) -> tuple[int, int]:
     """Count the hours and replace their summaries; returns failed hours and malformed lines."""
-    counts = materialize(count_hours(spark, logs_root, to_read, options.max_line_bytes, options.max_scan_paths))
+    counted = count_hours(spark, logs_root, to_read, options.max_line_bytes, options.max_scan_paths)
+    counts = materialize(counted, folder)
     failed = oversized_hours(counts).select("hour").distinct()
     malformed = counts.where(F.col("dim") == DIM_MALFORMED).agg(F.sum("requests")).first()[0] or 0
     failed_hours = failed.count()
@@ -148,23 +155,27 @@ def _summarise(
     return failed_hours, malformed
 
 
-def _refresh(spark: SparkSession, logs_root: str, analytics_root: str, options: _Options) -> RefreshReport:
+def _refresh(
+    spark: SparkSession, logs_root: str, analytics_root: str, options: _Options, folder: str
+) -> RefreshReport:
     def look() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         objects, skipped = _locate(spark, logs_root, options)
-        folders = materialize(hour_folders(objects))
+        folders = materialize(hour_folders(objects), folder)
         summaries = list_summaries(spark, summaries_path(analytics_root), options.dates)
         return folders, _state_of_hours(folders), summaries, skipped
 
     folders, state, summaries, skipped = look()
-    todo = materialize(stale_hours(state, summaries))
+    todo = materialize(stale_hours(state, summaries), folder)
     skipped_objects = skipped.count()
     refreshed, failed, malformed = 0, 0, 0
     while hours := todo.count():
         to_read = folders.join(todo.select("hour"), "hour", "left_semi")
-        failed_now, malformed_now = _summarise(spark, logs_root, analytics_root, to_read, hours, options)
+        failed_now, malformed_now = _summarise(
+            spark, logs_root, analytics_root, to_read, hours, options, folder
+        )
         refreshed, failed, malformed = refreshed + hours - failed_now, failed + failed_now, malformed + malformed_now
         folders, state, summaries, _ = look()
-        todo = materialize(_missed_hours(todo, state, summaries))
+        todo = materialize(_missed_hours(todo, state, summaries), folder)
     return RefreshReport(refreshed, failed, malformed, skipped_objects)
 
 
@@ -189,7 +200,8 @@ def refresh(
     report, error = None, None
     try:
         options = _Options(dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes)
-        report = _refresh(spark, logs_root, analytics_root, options)
+        with work_folder(spark) as folder:
+            report = _refresh(spark, logs_root, analytics_root, options, folder)
         return report
     except BaseException as problem:
         error = type(problem).__name__

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -70,10 +71,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or shared
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once, so that later steps reuse it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a table written once to shared storage, for steps that use it repeatedly.
+
+    It is computed exactly once and outlives the loss of any executor. Without
+    a ``folder`` the table stays in the checkpoint folder.
+    """
+    spark = df.sparkSession
+    folder = folder or ensure_checkpoint_dir(spark)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own below the checkpoint folder, removed at the end."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits_broadcast(hours: DataFrame, max_rows: int = MAX_BROADCAST_HOURS) -> bool:

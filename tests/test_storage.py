@@ -18,6 +18,7 @@ from hourtally.functions.keys import (
     token_of_file_path,
 )
 from hourtally.operators.counters import run_counters
+from hourtally.operators.ingest import batch_outcomes
 from hourtally.operators.documents import summary_documents
 import hourtally.plans.refresh as refresh_module
 from hourtally.plans.ingest import publish_batches, store_batches
@@ -34,6 +35,7 @@ from hourtally.schema import RAW_BATCH
 from hourtally.sinks.dead_letters import read_producer_dead_letters
 from hourtally.sinks.hourly_logs import compression_option, write_hourly
 from hourtally.sinks.summaries import read_counts, read_documents
+from hourtally.sources.batches import read_body_files, stream_body_files
 from hourtally.sources.listing import list_log_objects
 
 RECORDS = [
@@ -442,3 +444,30 @@ def test_publish_failure_becomes_dead_letters(spark, tmp_path):
     assert {r["reason"] for r in letters} == {"dial tcp: connection refused"}
     assert all(r["time"] is not None and r["records"][0]["timestamp"] is not None for r in letters)
     assert list((tmp_path / "dlq").glob("date=*"))
+
+
+def test_body_files(spark, tmp_path):
+    folder = tmp_path / "bodies"
+    put(folder, "day/one.json", ["[%s," % line("/1"), "%s]" % line("/2")])
+    put(folder, "two.csv", ["2025-11-15T14:30:00Z,/3,ua"])
+    put(folder, "three.xml", ["<logs/>"])
+    put(folder, "four.json", ["[" + line("/" + "x" * 500) + "]"])
+    frame = read_body_files(spark, str(folder), max_body_bytes=400)
+    got = {Path(r["batch_id"]).name: r for r in batch_outcomes(frame, max_body_bytes=400).collect()}
+    assert {name: r["status"] for name, r in got.items()} == {
+        "one.json": 202,
+        "two.csv": 202,
+        "three.xml": 415,
+        "four.json": 413,
+    }
+    assert [r["path"] for r in got["one.json"]["records"]] == ["/1", "/2"]
+    # The same files as a stream, accepted records straight into the hourly logs.
+    query = (
+        stream_body_files(spark, str(folder), max_body_bytes=400)
+        .writeStream.foreachBatch(lambda batch, _: store_batches(batch, str(tmp_path / "logs")) and None)
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    assert query.awaitTermination(120)
+    assert sorted(r["path"] for rows in stored_lines(tmp_path / "logs").values() for r in rows) == ["/1", "/2", "/3"]
