@@ -23,28 +23,28 @@ def decode_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Data
     ``line_state`` is ``ok``, ``blank``, ``malformed`` or ``oversized``;
     ``record`` is NULL unless it is ``ok``. No line makes the job fail.
     """
-    value, parts, text = F.col("value"), F.col("_parts"), F.col("_text")
+    value, parts, odd, text = F.col("value"), F.col("_parts"), F.col("_odd"), F.col("_text")
     too_long = F.octet_length(value) >= max_line_bytes
     stored = F.struct(
-        parts[3].try_cast("timestamp").alias("timestamp"), parts[7].alias("path"), parts[11].alias("userAgent")
+        F.col("_time").alias("timestamp"), parts[7].alias("path"), parts[11].alias("userAgent")
     )
     return (
         lines.withColumn("_parts", F.when(~too_long, stored_line_parts(value)))
-        .withColumn("_text", F.when(parts.isNull() & ~too_long, record_of_line(trim_space(value))))
+        .withColumn("_time", parts[3].try_cast("timestamp"))
+        .withColumn("_odd", F.when(parts.isNull() & ~too_long, trim_space(value)))
+        .withColumn("_text", F.when(odd != "", record_of_line(odd)))
         .withColumn(
             "record",
-            F.when(parts.isNotNull(), F.when(parts[3].try_cast("timestamp").isNotNull(), stored)).when(
-                text.isNotNull(), typed_record(text)
-            ),
+            F.when(F.col("_time").isNotNull(), stored).when(text.isNotNull(), typed_record(text)),
         )
         .withColumn(
             "line_state",
             F.when(too_long, F.lit("oversized"))
             .when(F.col("record").isNotNull(), F.lit("ok"))
-            .when(trim_space(value) == "", F.lit("blank"))
+            .when(odd == "", F.lit("blank"))
             .otherwise(F.lit("malformed")),
         )
-        .drop("value", "_parts", "_text")
+        .drop("value", "_parts", "_time", "_odd", "_text")
     )
 
 

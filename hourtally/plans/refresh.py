@@ -224,7 +224,8 @@ def _record_run(spark, analytics_root, started, report, error) -> None:
         "started STRING, error STRING, refreshed_hours BIGINT, failed_hours BIGINT, "
         "malformed_lines BIGINT, skipped_objects BIGINT"
     )
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(runs_path(analytics_root))
+    runs = spark.createDataFrame([row], schema).withColumn("date", F.substring("started", 1, 10))
+    runs.write.partitionBy("date").mode("append").json(runs_path(analytics_root))
 
 
 def refresh_hour(spark: SparkSession, logs_root: str, analytics_root: str, moment: datetime, **options) -> RefreshReport:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hourtally.operators.counting import tumbling_counts
 from hourtally.operators.freshness import log_objects
 from hourtally.plans.refresh import RefreshReport, refresh
 
+LOG = logging.getLogger(__name__)
+
 REFRESH_INTERVAL = "1 minute"
 
 
@@ -27,11 +31,20 @@ def start_periodic_refresh(
     """Run a refresh now and then once per interval, for any layout.
 
     The stream is only a clock. Late records change their file's time, so
-    their hour is found stale and recounted at the next run.
+    their hour is found stale and recounted at the next run. A failed run is
+    recorded and logged, and the next one tries again.
     """
+
+    def tick(*_) -> None:
+        try:
+            run(spark, logs_root, analytics_root, **options)
+        except Exception:
+            LOG.exception("refresh failed")
+
+    tick()
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (
-        ticks.writeStream.foreachBatch(lambda _, __: run(spark, logs_root, analytics_root, **options) and None)
+        ticks.writeStream.foreachBatch(tick)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=interval)
         .start()
@@ -86,6 +99,4 @@ def windowed_counts(records: DataFrame, lateness: timedelta = timedelta(hours=1)
     The state is bounded by the watermark, so a record later than ``lateness``
     may be missed; the refreshes above miss none. Use ``update`` mode.
     """
-    from hourtally.operators.counting import tumbling_counts
-
     return tumbling_counts(records.withWatermark("timestamp", f"{int(lateness.total_seconds())} seconds"))

@@ -236,3 +236,44 @@ def test_normalize(spark):
         want = TIMES[row["text"]]
         assert row["timestamp"] == (want and datetime.fromisoformat(want)), row["text"]
         assert (row["path"], row["userAgent"]) == ("/p", "a b")
+
+
+def test_bodies_near_the_limit(spark):
+    """Patterns must pass over large bodies once and without a deep stack."""
+    size = 1_900_000
+    many = ",".join([rec()] * (size // len(rec())))
+    odd = many.replace('{"timestamp"', '{"n":0,"timestamp"', 1)
+    rows = [
+        ("many", JSON, f"[{many}]"),
+        ("many odd", JSON, f"[{odd}]"),
+        ("escapes", JSON, f"[{rec(path='\"' + '/' * 9 + chr(92) * 2 * (size // 2) + '\"')}]"),
+        ("inner space", JSON, f"[{rec(path='\"/' + ' ' * size + 'x\"')}]"),
+        ("open string", JSON, '[{"path":"' + "x" * size),
+        ("brackets", JSON, "[" * size),
+        ("csv", CSV, f"{T0},/a,u\n" * (size // 26)),
+        ("csv quoted", CSV, f'{T0},"/a",u\n' * (size // 28)),
+        ("csv quotes", CSV, f'{T0},"/{chr(34) * 2 * (size // 2)}",u'),
+        ("csv open quote", CSV, f'{T0},/a,"' + "x" * size),
+        ("csv newlines", CSV, "\n" * size + f'{T0},/a,"u"'),
+        ("csv commas", CSV, f'{T0},/a,"u"' + "," * size),
+    ]
+    got = {
+        r["batch_id"]: (r["status"], r["n"])
+        for r in batch_outcomes(spark.createDataFrame(rows, RAW_BATCH))
+        .select("batch_id", "status", F.coalesce(F.array_size("records"), F.lit(0)).alias("n"))
+        .collect()
+    }
+    assert got == {
+        "many": (202, size // len(rec())),
+        "many odd": (202, size // len(rec())),
+        "escapes": (202, 1),
+        "inner space": (202, 1),
+        "open string": (400, 0),
+        "brackets": (400, 0),
+        "csv": (202, size // 26),
+        "csv quoted": (202, size // 28),
+        "csv quotes": (202, 1),
+        "csv open quote": (400, 0),
+        "csv newlines": (202, 1),
+        "csv commas": (202, 1),
+    }

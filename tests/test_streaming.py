@@ -148,6 +148,23 @@ def test_stream_refresh(spark, tmp_path):
         query.stop()
 
 
+def test_periodic_refresh_starts_at_once_and_outlives_failures(spark, tmp_path):
+    runs = []
+
+    def run(session, logs_root, analytics_root, dates):
+        runs.append((logs_root, analytics_root, dates))
+        if len(runs) == 1:
+            raise OSError("unreachable")
+
+    query = start_periodic_refresh(spark, "logs", "out", str(tmp_path / "checkpoint"), "1 second", run, dates=["d"])
+    try:
+        assert len(runs) == 1
+        eventually(lambda: len(runs) >= 3)
+        assert set(map(str, runs)) == {str(("logs", "out", ["d"]))}
+    finally:
+        query.stop()
+
+
 def test_refresh_on_arrival(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
     put(logs, "2025-11-15/14/a-1.log.json", [line()])
