@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hourtally.functions.expressions import bind
-from hourtally.functions.timestamps import PLAIN_TIME, ZERO_TIME, parse_rfc3339
+from hourtally.functions.timestamps import PLAIN_TIME, parse_rfc3339
 
 _WS = r"[ \t\r\n]*+"
 _STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
@@ -102,14 +102,14 @@ def record_of_variant(doc: Column) -> Column:
 def typed_record(record: Column) -> Column:
     """Parse the timestamp; NULL when one is given and wrong.
 
-    A missing text becomes the empty text, a missing timestamp the zero time.
+    A missing text becomes the empty text, a missing timestamp stays NULL.
     """
     return bind(
         parse_rfc3339(record["timestamp"]),
         lambda ts: F.when(
             ts.isNotNull() | record["timestamp"].isNull(),
             F.struct(
-                F.coalesce(ts, F.lit(ZERO_TIME).cast("timestamp")).alias("timestamp"),
+                ts.alias("timestamp"),
                 F.coalesce(record["path"], F.lit("")).alias("path"),
                 F.coalesce(record["userAgent"], F.lit("")).alias("userAgent"),
             ),

@@ -45,6 +45,11 @@ def is_zero_time(ts: Column) -> Column:
     return ts.isNull() | (ts == F.lit(ZERO_TIME).cast("timestamp"))
 
 
+def stored_time(ts: Column) -> Column:
+    """The time a record is stored under: a missing one is the zero time."""
+    return F.coalesce(ts, F.lit(ZERO_TIME).cast("timestamp"))
+
+
 def format_rfc3339(ts: Column) -> Column:
     """UTC text with the fraction only where there is one."""
     return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.functions.timestamps import date_token, format_rfc3339
+from hourtally.functions.timestamps import date_token, format_rfc3339, stored_time
 from hourtally.schema import CONSUMER_DEAD_LETTER, PRODUCER_DEAD_LETTER
 
 
@@ -16,7 +16,8 @@ def _append(letters: DataFrame, root: str, date: Column) -> None:
 def write_consumer_dead_letters(letters: DataFrame, root: str) -> None:
     """Append ``record, partition, offset, reason`` under today's UTC date."""
     stamped = letters.withColumn(
-        "record", F.col("record").withField("timestamp", format_rfc3339(F.col("record.timestamp")))
+        "record",
+        F.col("record").withField("timestamp", format_rfc3339(stored_time(F.col("record.timestamp")))),
     )
     _append(stamped, root, date_token(F.current_timestamp()))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourtally.functions.json_records import record_to_json
-from hourtally.functions.timestamps import date_token, format_rfc3339, hour_token
+from hourtally.functions.timestamps import date_token, format_rfc3339, hour_token, stored_time
 from hourtally.session import spread_writes
 
 # The accepted codec names and what Spark and Kafka call them.
@@ -28,9 +28,8 @@ def compression_option(name: str | None) -> str:
 
 def encode_records(records: DataFrame) -> DataFrame:
     """Add ``value``, the record as one line of JSON."""
-    return records.withColumn(
-        "value", record_to_json(format_rfc3339(F.col("timestamp")), F.col("path"), F.col("userAgent"))
-    )
+    timestamp = format_rfc3339(stored_time(F.col("timestamp")))
+    return records.withColumn("value", record_to_json(timestamp, F.col("path"), F.col("userAgent")))
 
 
 def write_hourly(records: DataFrame, root: str, compression: str = "none", rebalance: bool = True) -> None:
@@ -38,13 +37,14 @@ def write_hourly(records: DataFrame, root: str, compression: str = "none", rebal
 
     Every task writes files of its own, so writers never overwrite each other,
     and a failed job leaves nothing behind. Rows are first brought together by
-    hour with a rebalancing shuffle: small hours end up in one file each and a
-    hot hour is split over as many tasks as its size asks for.
+    hour with a rebalancing shuffle: a small hour ends up in one file, a hot
+    hour (and any that shares its reducer) is split over as many tasks as its
+    size asks for.
     """
     encoded = encode_records(records).select(
         "value",
-        date_token(F.col("timestamp")).alias("date"),
-        hour_token(F.col("timestamp")).alias("hour"),
+        date_token(stored_time(F.col("timestamp"))).alias("date"),
+        hour_token(stored_time(F.col("timestamp"))).alias("hour"),
     )
     if rebalance:
         encoded = encoded.hint("rebalance", "date", "hour")

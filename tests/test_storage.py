@@ -106,6 +106,29 @@ def test_two_writers_keep_both(spark, tmp_path):
     assert sorted(r["path"] for r in lines["date=2025-01-02/hour=03"]) == ["/from-a", "/from-b"]
 
 
+def test_hot_hour_is_split_over_tasks(spark, tmp_path):
+    """Half of the rows lie in one hour; they must not pass through one task."""
+    hour = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 20)
+    frame = spark.range(0, 40_000, 1, 8).select(
+        F.timestamp_seconds(F.lit(1_700_002_800) + hour * 3600).alias("timestamp"),
+        F.concat(F.lit("/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"),
+        F.lit("ua").alias("userAgent"),
+    )
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "256k")
+    try:
+        write_hourly(frame, str(tmp_path / "logs"))
+    finally:
+        spark.conf.set(advisory, before)
+    files = {f.name: len(list(f.glob("part-*"))) for f in (tmp_path / "logs").rglob("hour=*")}
+    # Hours that share the reducer of the hot one are split with it, others are not.
+    assert max(files.values()) > 3 and min(files.values()) == 1
+    refresh(spark, str(tmp_path / "logs"), str(tmp_path / "out"))
+    totals = [sum(agents.values()) for _, agents in summaries(spark, tmp_path / "out").values()]
+    assert sorted(totals, reverse=True) == [20_000] + [2_000] * 10
+
+
 def test_empty_write(spark, tmp_path):
     write_hourly(records(spark, []), str(tmp_path / "logs"))
     assert stored_lines(tmp_path / "logs") == {}

@@ -74,6 +74,23 @@ def test_stream_ingest(spark, tmp_path):
     assert paths_of(logs) == ["/a", "/home", "/home", "/home", "/late"]
 
 
+def test_missing_time_is_stored_under_the_zero_hour(spark, tmp_path):
+    publish(tmp_path / "topic", "1.json", '{"path":"/x"}')
+    drain(
+        start_ingest(
+            file_messages(spark, str(tmp_path / "topic")),
+            str(tmp_path / "logs"),
+            str(tmp_path / "dlq"),
+            str(tmp_path / "checkpoint"),
+            None,
+            name="zero",
+        )
+    )
+    assert stored_lines(tmp_path / "logs") == {
+        "date=0001-01-01/hour=00": [{"timestamp": "0001-01-01T00:00:00Z", "path": "/x", "userAgent": ""}]
+    }
+
+
 def test_stream_ingest_by_time(spark, tmp_path):
     topic, logs = tmp_path / "topic", tmp_path / "logs"
     publish(topic, "1.json", line("/1"))
