@@ -35,6 +35,15 @@ def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over the cores, for the CPU-bound work after it.
+
+    An input that already comes in as many splits as there are cores is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _every(n: int, column: str = "event_id") -> Column:
     return F.col(column) % n == 0
 
@@ -51,7 +60,7 @@ def _json(ts: Column, path: Column, agent: Column, path_key: str = "path") -> Co
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, hour, value``: one NDJSON line per event, some of them odd."""
-    view = log_view(spark, sf_dir)
+    view = _spread(log_view(spark, sf_dir))
     ts = F.concat(_micros(F.col("timestamp")), F.lit("Z"))
     path, agent = F.col("path"), F.col("userAgent")
     line = (
@@ -70,7 +79,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hour, value``: valid lines whose length follows the event's value."""
-    view = log_view(spark, sf_dir)
+    view = _spread(log_view(spark, sf_dir))
     pad = F.repeat(F.lit("x"), F.floor("value").cast("int"))
     line = F.concat(F.lit('{"path":"'), "path", F.lit('","userAgent":"'), pad, F.lit('"}'))
     return view.select(F.date_trunc("hour", "timestamp").alias("hour"), line.alias("value"))
@@ -99,8 +108,10 @@ def raw_batches(spark: SparkSession, sf_dir: str, media: str = "mixed") -> DataF
     """``batch_id, content_type, body``: ten neighbouring events to a body.
 
     ``media`` is ``json``, ``csv`` or ``mixed``. Collecting the records of a
-    batch is bounded by the ten ids it can have.
+    batch is bounded by the ten ids it can have. The shuffle that brings them
+    together has a fixed number of partitions, which decoding then uses.
     """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batch = F.floor(F.col("event_id") / RECORDS_PER_BATCH).cast("bigint")
     view = log_view(spark, sf_dir).withColumn("batch_id", batch)
     position = F.col("event_id") % RECORDS_PER_BATCH
@@ -123,6 +134,7 @@ def raw_batches(spark: SparkSession, sf_dir: str, media: str = "mixed") -> DataF
     )
     bodies = (
         view.select("batch_id", "event_id", record.alias("record"))
+        .repartition(partitions, "batch_id")
         .groupBy("batch_id")
         .agg(F.array_sort(F.collect_list(F.struct("event_id", "record"))).alias("rows"))
         .withColumn("rows", F.when(_every(41, "batch_id"), F.slice("rows", 1, 0)).otherwise(F.col("rows")))

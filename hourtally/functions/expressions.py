@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Unicode counts as white space.
@@ -31,3 +33,32 @@ def trim_space(text: Column) -> Column:
 def first_not_null(items: Column) -> Column:
     """First element of an array that is not NULL, or NULL."""
     return F.get(F.filter(items, lambda item: item.isNotNull()), F.lit(0))
+
+
+Stages = list[tuple[str, Column]]
+
+
+def built_once(build: Callable[..., Stages]) -> Callable[..., Stages]:
+    """Keep the columns that ``build`` returns for its arguments, per JVM.
+
+    A large expression is sent to the JVM node by node, which can take longer
+    than a micro-batch should. The columns refer to others by name only, so the
+    same ones serve every DataFrame.
+    """
+    kept: dict[tuple, Stages] = {}
+
+    @wraps(build)
+    def lookup(*args) -> Stages:
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return lookup
+
+
+def with_stages(df: DataFrame, stages: Stages) -> DataFrame:
+    """Add columns one after the other; each may use those before it."""
+    for name, column in stages:
+        df = df.withColumn(name, column)
+    return df

@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourtally.functions import csv_records, json_records
-from hourtally.functions.expressions import bind, first_not_null, trim_space
+from hourtally.functions.expressions import (
+    Stages,
+    bind,
+    built_once,
+    first_not_null,
+    trim_space,
+    with_stages,
+)
 from hourtally.functions.timestamps import is_zero_time, parse_rfc3339
 
 MAX_BODY_BYTES = 2 * 1024 * 1024
@@ -76,35 +83,11 @@ def _csv_problem(record: Column, timestamp: Column) -> Column:
     )
 
 
-def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """Each batch with ``status``, ``reason`` and, when accepted, its ``records``.
-
-    The reason is empty for an accepted batch. Checks run in a fixed order:
-    media type, size, syntax, then the records one by one. A ``body_bytes``
-    column, where there is one, gives the size in place of the body itself.
-    """
-    sized = "body_bytes" in batches.columns
-    body_bytes = F.col("body_bytes") if sized else F.octet_length("_body")
-    body = F.coalesce(F.col("body"), F.lit(""))
-    kind = F.col("_kind")
-    decoded = (
-        batches.withColumn("_body", body)
-        .withColumn("_kind", _media_kind(F.col("content_type"), body_bytes, max_body_bytes))
-        .withColumn("_json", F.when(kind == "json", json_records.records_of_body(F.col("_body"))))
-        .withColumn("_rows", F.when(kind == "csv", csv_records.rows_of_body(F.col("_body"))))
-        .withColumn("_even", csv_records.rows_are_even(F.col("_rows")))
-        .withColumn("_csv", F.when(F.col("_even"), csv_records.records_of_rows(F.col("_rows"), F.col("_body"))))
-        .withColumn(
-            "_checked",
-            F.when(kind == "json", _checked(F.col("_json"), _json_problem)).when(
-                kind == "csv", _checked(F.col("_csv"), _csv_problem)
-            ),
-        )
-    )
-    decoded = decoded.withColumn(
-        "_bad", F.filter("_checked", lambda c: c["problem"].isNotNull() | c["missing"].isNotNull())
-    )
+@built_once
+def _outcome_stages(max_body_bytes: int, sized: bool) -> Stages:
+    kind, body, rows = F.col("_kind"), F.col("_body"), F.col("_rows")
     checked, bad = F.col("_checked"), F.col("_bad")
+    body_bytes = F.col("body_bytes") if sized else F.octet_length(body)
     problem = first_not_null(F.transform(bad, lambda c: c["problem"]))
     missing = first_not_null(
         F.transform(
@@ -119,7 +102,7 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
         )
         .when(kind == "large", F.lit("request body too large"))
         .when((kind == "json") & checked.isNull(), F.lit("invalid JSON payload"))
-        .when((kind == "csv") & (F.size("_rows") == 0), F.lit("empty CSV payload"))
+        .when((kind == "csv") & (F.size(rows) == 0), F.lit("empty CSV payload"))
         .when((kind == "csv") & checked.isNull(), F.lit("invalid CSV payload"))
         .when(F.size(checked) == 0, F.lit("no log records provided"))
         .otherwise(F.coalesce(problem, missing, F.lit("")))
@@ -130,15 +113,37 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
         .when(F.col("reason") == "", ACCEPTED)
         .otherwise(INVALID)
     )
-    return (
-        decoded.withColumn("reason", reason)
-        .withColumn("status", status)
-        .withColumn(
+    return [
+        ("_body", F.coalesce(F.col("body"), F.lit(""))),
+        ("_kind", _media_kind(F.col("content_type"), body_bytes, max_body_bytes)),
+        ("_json", F.when(kind == "json", json_records.records_of_body(body))),
+        ("_rows", F.when(kind == "csv", csv_records.rows_of_body(body))),
+        ("_csv", F.when(csv_records.rows_are_even(rows), csv_records.records_of_rows(rows, body))),
+        (
+            "_checked",
+            F.when(kind == "json", _checked(F.col("_json"), _json_problem)).when(
+                kind == "csv", _checked(F.col("_csv"), _csv_problem)
+            ),
+        ),
+        ("_bad", F.filter(checked, lambda c: c["problem"].isNotNull() | c["missing"].isNotNull())),
+        ("reason", reason),
+        ("status", status),
+        (
             "records",
             F.when(F.col("status") == ACCEPTED, F.transform(checked, lambda c: c["record"])),
-        )
-        .drop("_body", "_kind", "_json", "_rows", "_even", "_csv", "_checked", "_bad")
-    )
+        ),
+    ]
+
+
+def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """Each batch with ``status``, ``reason`` and, when accepted, its ``records``.
+
+    The reason is empty for an accepted batch. Checks run in a fixed order:
+    media type, size, syntax, then the records one by one. A ``body_bytes``
+    column, where there is one, gives the size in place of the body itself.
+    """
+    outcomes = with_stages(batches, _outcome_stages(max_body_bytes, "body_bytes" in batches.columns))
+    return outcomes.drop("_body", "_kind", "_json", "_rows", "_csv", "_checked", "_bad")
 
 
 def rejected_batches(outcomes: DataFrame) -> DataFrame:
