@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -183,7 +184,7 @@ def refresh(
     spark: SparkSession,
     logs_root: str,
     analytics_root: str,
-    dates: list[str] | None = None,
+    dates: list[str] | Callable[[], list[str]] | None = None,
     hour: datetime | None = None,
     layout: str = "any",
     max_line_bytes: int = MAX_LINE_BYTES,
@@ -193,13 +194,14 @@ def refresh(
     """Recount every stale hour below ``logs_root``, or only those of some days or one hour.
 
     ``layout="flat"`` takes only ``<root>/<date>/<HH>.log.json``; ``"any"`` also
-    takes sharded and ``date=/hour=`` folders at any depth. A run is recorded
-    whether it succeeds or not.
+    takes sharded and ``date=/hour=`` folders at any depth. ``dates`` may be a
+    function, so that a periodic refresh can list a moving window of days. A
+    run is recorded whether it succeeds or not.
     """
     started = datetime.now(timezone.utc)
     report, error = None, None
     try:
-        options = _Options(dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes)
+        options = _Options(dates() if callable(dates) else dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes)
         with work_folder(spark) as folder:
             report = _refresh(spark, logs_root, analytics_root, options, folder)
         return report

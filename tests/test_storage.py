@@ -383,6 +383,9 @@ def test_single_hour(spark, tmp_path):
     assert summaries(spark, out) == {"2025-11-15T15:00:00Z": ({"/login": 1}, {"ua1": 1})}
     assert refresh_current_hour(spark, str(logs), str(out), now=moment.replace(hour=14)).refreshed_hours == 1
     assert len(summaries(spark, out)) == 2
+    days = iter((["2025-11-15"], ["2025-11-16"]))
+    assert refresh(spark, str(logs), str(out), dates=lambda: next(days)).refreshed_hours == 0
+    assert refresh(spark, str(logs), str(out), dates=lambda: next(days)).refreshed_hours == 1
     missing = refresh_hour(spark, str(logs), str(out), moment.replace(hour=3))
     assert missing == RefreshReport()
 
