@@ -71,15 +71,19 @@ def exact_groups(
         )
         .where("group_size > 1")
     )
-    same = groups.where("contents = 1").drop("contents")
+    # A row looks for its group under one of ``salts`` copies of it, so a text
+    # that is everywhere is matched by as many tasks.
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    same = groups.where("contents = 1").select("digest", "keep_id", "group_size", copies)
     clashes = groups.where("contents > 1").select("digest")
-    plain = rows.drop("content")
+    plain = rows.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     if clashes.isEmpty():
-        found = plain.join(same, "digest", "left")
+        found = plain.join(same, ["digest", "salt"], "left")
     else:
         clashing = rows.join(clashes, "digest", "left_semi")
         matched = clashing.join(content_groups(clashing, salts), ["digest", "content"]).drop("content")
-        found = plain.join(clashes, "digest", "left_anti").join(same, "digest", "left").unionByName(matched)
+        others = plain.join(clashes, "digest", "left_anti").join(same, ["digest", "salt"], "left")
+        found = others.drop("salt").unionByName(matched)
     found = found.select(
         "doc_id",
         "digest",
