@@ -1 +1,7 @@
 """Operators that prepare text for training language models."""
+
+import hourtally
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with them, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(hourtally)

@@ -11,11 +11,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A word is a run of anything but these white-space bytes.
-SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+# A word is a run of anything but these white-space characters. On UTF-8 bytes
+# ``split()`` cuts at exactly these, and ``lower()`` changes exactly A-Z.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_BREAKS = str.maketrans("\t\n\v\f\r", "     ")
-_LOWER_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +25,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def lower_az(text: str) -> str:
-    """Lower-cases A-Z and nothing else."""
-    return text.translate(_LOWER_AZ) if not text.isascii() else text.lower()
-
-
-def words(text: str) -> list[str]:
-    """The words of a text. ``str.split()`` would also split at other Unicode spaces."""
-    if text.isascii() and not _OTHER_ASCII_SPACES.intersection(text):
-        return text.split()
-    return [w for w in text.translate(_BREAKS).split(" ") if w]
-
-
-# ASCII characters at which ``str.split()`` splits and this library does not.
-_OTHER_ASCII_SPACES = frozenset("\x1c\x1d\x1e\x1f")
-
-
 class Memo(dict):
     """A bounded cache of ``make(key)``: two generations of ``limit`` entries each.
 
@@ -65,9 +47,9 @@ class Memo(dict):
         return value
 
 
-def hash64(word: str) -> int:
+def hash64(word: bytes) -> int:
     """A 64-bit hash of a word that is the same in every process."""
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -89,9 +71,20 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_0
         yield batch.slice(start, stop - start)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The texts of a batch; null is empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+def utf8_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The UTF-8 texts of a batch; null is empty."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def map_batches(rows: DataFrame, schema: str, work, most: int = 2_000_000) -> DataFrame:
+    """``work(batch) -> record batch`` over pieces of the rows of about ``most`` bytes of ``text``."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in text_slices(batch, most=most):
+                yield work(piece)
+
+    return rows.mapInArrow(run, schema)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:

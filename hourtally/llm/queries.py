@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE = {
     "op5_exact_dedup": OP5_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
 }
