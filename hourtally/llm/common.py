@@ -32,7 +32,7 @@ class Memo(dict):
     survive. The bound changes speed and never a result.
     """
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make=None, limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -40,11 +40,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def hash64(word: bytes) -> int:
