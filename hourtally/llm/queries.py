@@ -6,8 +6,10 @@ from hourtally.llm.bpe_trie import op10_bpe_trie
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
+from hourtally.llm.toxicity_fm import op1_toxicity_fm
 
 QUERIES = {
+    "op1_toxicity_fm": op1_toxicity_fm,
     "op3_rans_files": op3_rans_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
