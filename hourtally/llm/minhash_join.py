@@ -13,9 +13,10 @@ With the defaults a pair at exactly 0.8 is missed with probability below 1e-6;
 nothing else is dropped.
 
 A posting list is never turned into all its pairs. First its members are
-compared with a few hubs of the list, which joins groups of near copies; then
-members are compared only across the components that still differ, each outside
-the list's largest component with all that lie outside its own.
+compared with a few hubs of the list, which joins groups of near copies. What
+still shares a list with another component is compared across components by the
+rarest shingles of the full sets, where the sizes give a bound that a signature
+cannot; those pairs, too, must collide in ``match`` coordinates.
 
 Defined results: null and empty texts have no shingles and no links. A null
 ``doc_id`` is linked with nothing and has no component. Rows repeated with one
@@ -36,6 +37,7 @@ from hourtally.session import materialize
 COORDINATES = 64
 MATCH = 34
 HUBS = 3
+BAND = 1.02  # ratio of the sizes of a size band
 # Ids that are broadcast to pick candidate texts: 8 bytes each, some 40 MB as a
 # hash relation. More ids are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -81,21 +83,80 @@ def ordered_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within a list that lie in different components."""
+def open_classes(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rep, label`` of the classes that share a list with a class of another component."""
     marked = posts.join(labels, posts["rep"] == labels["node"], "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label")
     )
-    sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    lists = marked.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return marked.join(lists.where("least < most"), "key").select("rep", "label").distinct()
+
+
+def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the given classes ``rep, label`` in different components that may be similar.
+
+    Sets of n and m shingles that are similar enough have at least
+    ``percent / (100 + percent) * (n + m)`` in common, so they share one of as
+    many of their rarest shingles as this leaves. The larger set of a pair looks
+    under (shingle, size band) for each band that its partner can be in, the
+    smaller one is posted in its own, which makes the bound as sharp as the sizes
+    allow: what near copies have in common lies beyond it for those with too many
+    changes. Within a list only pairs with a member outside its largest
+    component are formed.
+    """
+    share = percent / (100 + percent)
+    rows = classes.join(sets, classes["rep"] == sets["doc_id"]).select("rep", "label", "shingles")
+    elements = rows.select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("rep")
+    turn = F.row_number().over(own.orderBy("f", "shingle"))
+    placed = materialize(
+        elements.join(often, "shingle")
+        .withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + turn)
+        .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-6) + 1)
+        .drop("f")
+    )
+
+    def band(size):
+        return F.floor(F.log(size) / F.log(F.lit(BAND)) + 1e-9).cast("int")
+
+    def needed(n, m):
+        return F.ceil(share * (n + m) - 1e-6)
+
+    n, at = F.col("n"), F.col("at")
+    posted = placed.where(at <= n - needed(n, n) + 1).withColumn("band", band(n))
+    bands = F.explode(F.sequence(band(F.greatest(n * percent / 100 - 1, F.lit(1))), band(n))).alias("band")
+    low = F.floor(F.pow(F.lit(BAND), F.col("band")) - 1e-6)
+    looking = placed.select("*", bands).where(at <= n - needed(n, F.greatest(low, F.floor(n * percent / 100))) + 1)
+    keys = ["shingle", "band"]
+    both = posted.select(*keys, "rep", "label").unionByName(looking.select(*keys, "rep", "label"))
+    sizes = both.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
     largest = (
-        sizes.groupBy("key")
-        .agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
+        sizes.groupBy(*keys)
+        .agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
         .where("labels > 1")
+        .drop("labels")
     )
-    open_rows = materialize(marked.join(largest.drop("labels"), "key"))
-    outside = open_rows.where("label <> largest").select("key", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-    met = outside.join(open_rows.select("key", "rep", "label"), "key").where("label <> x_label")
-    return ordered_pairs(met, "x", "rep")
+
+    def side(rows, name):
+        columns = [F.col(c).alias(f"{name}_{c}") for c in ("rep", "label", "n", "at")]
+        return rows.join(largest, keys).select(*keys, *columns, (F.col("label") != F.col("largest")).alias(f"{name}_out"))
+
+    small, large = materialize(side(posted, "s")), materialize(side(looking, "l"))
+    least = needed(F.col("s_n"), F.col("l_n"))
+
+    def met(small, large):
+        return small.join(large, keys).where(
+            (F.col("s_label") != F.col("l_label"))
+            & (F.col("s_n") <= F.col("l_n"))
+            & (100 * F.col("s_n") >= percent * F.col("l_n"))
+            & (F.col("s_at") <= F.col("s_n") - least + 1)
+            & (F.col("l_at") <= F.col("l_n") - least + 1)
+        )
+
+    found = met(small.where("s_out"), large).select("s_rep", "l_rep")
+    found = found.union(met(small.where("not s_out"), large.where("l_out")).select("s_rep", "l_rep"))
+    return ordered_pairs(found, "s_rep", "l_rep")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
@@ -155,7 +216,8 @@ def near_duplicates(
     sets = materialize(full_sets(chosen, shingle_words).dropDuplicates(["doc_id"]))
     links = materialize(confirmed(hub_pairs(posts, hubs), classes, sets, match, percent))
     first = materialize(components(links))
-    more = materialize(confirmed(cross_pairs(posts, first), classes, sets, match, percent))
+    rest = materialize(open_classes(posts, first))
+    more = materialize(confirmed(cross_pairs(rest, sets, percent), classes, sets, match, percent))
     labels = first if more.isEmpty() else components(links.unionByName(more))
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         "digest", F.coalesce("label", "rep").alias("component")
