@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hourtally.llm.bpe_trie import op10_bpe_trie
+from hourtally.llm.decision_list import op6_decision_list
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op3_rans_files": op3_rans_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decision_list": op6_decision_list,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe_trie": op10_bpe_trie,
 }
