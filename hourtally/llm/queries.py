@@ -8,6 +8,7 @@ from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
 from hourtally.llm.toxicity_fm import op1_toxicity_fm
+from hourtally.llm.wordpiece_counts import op9_wordpiece_counts
 
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decision_list": op6_decision_list,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_bpe_trie": op10_bpe_trie,
 }
 
