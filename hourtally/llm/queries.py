@@ -5,6 +5,7 @@ from __future__ import annotations
 from hourtally.llm.bpe_trie import op10_bpe_trie
 from hourtally.llm.decision_list import op6_decision_list
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from hourtally.llm.language_centroids import op4_language_centroids
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
 from hourtally.llm.toxicity_fm import op1_toxicity_fm
@@ -13,6 +14,7 @@ from hourtally.llm.wordpiece_counts import op9_wordpiece_counts
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op3_rans_files": op3_rans_files,
+    "op4_language_centroids": op4_language_centroids,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decision_list": op6_decision_list,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
