@@ -8,11 +8,13 @@ from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.language_centroids import op4_language_centroids
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
+from hourtally.llm.source_mixing import OP2_SQL, op2_source_mixing
 from hourtally.llm.toxicity_fm import op1_toxicity_fm
 from hourtally.llm.wordpiece_counts import op9_wordpiece_counts
 
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_source_mixing": op2_source_mixing,
     "op3_rans_files": op3_rans_files,
     "op4_language_centroids": op4_language_centroids,
     "op5_exact_dedup": op5_exact_dedup,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_source_mixing": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
 }
