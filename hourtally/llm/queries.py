@@ -8,6 +8,7 @@ from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.language_centroids import op4_language_centroids
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
 from hourtally.llm.rans_files import op3_rans_files
+from hourtally.llm.recurrent_lm import op7_recurrent_lm
 from hourtally.llm.source_mixing import OP2_SQL, op2_source_mixing
 from hourtally.llm.toxicity_fm import op1_toxicity_fm
 from hourtally.llm.wordpiece_counts import op9_wordpiece_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_centroids": op4_language_centroids,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decision_list": op6_decision_list,
+    "op7_recurrent_lm": op7_recurrent_lm,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_bpe_trie": op10_bpe_trie,
