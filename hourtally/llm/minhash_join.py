@@ -227,6 +227,19 @@ def near_duplicates(
     return joined.select("doc_id", "n_shingles", label.alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without the documents of a component but its smallest id.
+
+    Those that go are few beside those that stay: rows are left where they are
+    if the ids that go are few enough to broadcast, and joined by a shuffle
+    beyond. Rows with a null ``doc_id`` stay.
+    """
+    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(gone)
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=4)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
