@@ -175,15 +175,18 @@ class TokenEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_of_letter().items()}
+        self.mark = {c: tuple(t.id for t in self.model.tokenize(c)) for c in ".,;:?!|"}
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.end = (end_id,)
         self.most, self.known, self.words = most, {}, {}
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """The ids of a word of letters, or of one mark, in normal form: the pattern keeps it whole."""
+    def word(self, text: str) -> tuple[int, ...] | None:
+        """The ids of a word of letters in normal form, which the pattern keeps whole; None for other text."""
+        if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+            return None
         lower = text.lower() if text.isascii() else "".join([c.lower() for c in text])
         ids = self.words.get(lower)
-        if ids is None:
+        if ids is None and lower.isalpha():  # a few letters become a letter and a mark
             spelled = lower if lower.isascii() else "".join([self.letters[b] for b in lower.encode()])
             ids = self.words[lower] = tuple([t.id for t in self.model.tokenize(spelled)])
         return ids
@@ -195,10 +198,12 @@ class TokenEncoder:
         odd = []
         for key in pieces.difference(self.known):
             piece = key.decode()
-            if piece.isalpha() and unicodedata.is_normalized("NFC", piece):
-                self.known[key] = self.word(piece)
-            elif piece[-1] in ".,;:?!|" and piece[:-1].isalpha() and unicodedata.is_normalized("NFC", piece):
-                self.known[key] = self.word(piece[:-1]) + self.word(piece[-1])
+            ids = self.word(piece)
+            if ids is None and piece[-1] in ".,;:?!|":
+                ids = self.word(piece[:-1])
+                ids = ids and ids + self.mark[piece[-1]]
+            if ids:
+                self.known[key] = ids
             else:
                 odd.append(key)
         for i in range(0, len(odd), 4096):

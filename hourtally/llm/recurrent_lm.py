@@ -75,6 +75,7 @@ class Counts:
     ends: int
     words: list[bytes]
     n: list[int]
+    vocabulary: int = VOCABULARY
     state: dict = field(default_factory=dict)
 
     def base(self, count) -> float:
@@ -84,7 +85,7 @@ class Counts:
     @property
     def size(self) -> int:
         """Words that have a number in the model, beside the end and the unknown token."""
-        return min(len(self.words), VOCABULARY - 2)
+        return min(len(self.words), self.vocabulary - 2)
 
     @property
     def outside(self) -> float:
@@ -94,7 +95,7 @@ class Counts:
 
     def probabilities(self) -> np.ndarray:
         """Starting probabilities of the model's tokens; unused numbers have next to none."""
-        weights = np.zeros(VOCABULARY)
+        weights = np.zeros(self.vocabulary)
         weights[END], weights[UNKNOWN] = self.ends + 0.5, self.outside
         weights[2 : 2 + self.size] = np.array(self.n[: self.size]) + 0.5
         return weights / weights.sum()
@@ -106,12 +107,12 @@ class Counts:
         return self.state["numbers"]
 
 
-def gather(counted: DataFrame, documents: int) -> Counts:
+def gather(counted: DataFrame, documents: int, vocabulary: int, kept: int) -> Counts:
     """Totals of a materialized table of word counts and its most frequent words."""
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(MAX_BROADCAST_WORDS).toArrow()
+    top = counted.orderBy(F.desc("n"), "word").limit(kept).toArrow()
     words = top["word"].cast(pa.binary()).to_pylist()
-    return Counts(total + documents, distinct + (documents > 0), documents, words, top["n"].to_pylist())
+    return Counts(total + documents, distinct + (documents > 0), documents, words, top["n"].to_pylist(), vocabulary)
 
 
 def model_ids(text: bytes, numbers: dict[bytes, int], size: int) -> np.ndarray:
@@ -220,11 +221,15 @@ def partial_scores(docs: DataFrame, counts: Counts, params: dict[str, np.ndarray
     return map_batches(docs.select("doc_id", "text"), schema, work, most=4_000_000)
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``doc_id, text``."""
+def scored(docs: DataFrame, vocabulary: int = VOCABULARY, kept: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``doc_id, text``.
+
+    ``vocabulary`` is a multiple of the network's class size and ``kept``, the
+    number of words whose counts are broadcast, at least as large.
+    """
     training = docs.select("doc_id", "text").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     counted = materialize(word_counts(training))
-    counts = gather(counted, training.count())
+    counts = gather(counted, training.count(), vocabulary, kept)
     params = fit(training, counts)
     partial = materialize(partial_scores(docs, counts, params).withColumn("row", F.monotonically_increasing_id()))
     rare = partial.select("row", F.explode("rare").alias("word")).join(counted, "word", "left")

@@ -1,0 +1,156 @@
+"""BPE, rANS files and word-piece counts against the tokenizers library and brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from hourtally.llm import bpe_trie, rans_files
+from hourtally.llm.queries import QUERIES
+from hourtally.llm.wordpiece_counts import Automaton, load_pieces, piece_counts
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+
+
+def library(name):
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def random_texts():
+    random.seed(6)
+    letters = " \n\t'sabcde12é日.,!- \x1f́ñ|<>"
+    return ["".join(random.choice(letters) for _ in range(random.randrange(60))) for _ in range(400)]
+
+
+def test_bpe_of_random_and_odd_texts():
+    bpe = bpe_trie.Bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, reference = bpe_trie.Encoder(bpe), library("byte_bpe_50k.json")
+    encoder.most = 50  # forgets often
+    texts = ["", " ", "a  b", "x \n", "<|endoftext|>a <|endoftext|>", "-" * 300, " " * 300 + "x", *random_texts()]
+    for start in range(0, len(texts), 20):
+        part = texts[start : start + 20]
+        for text, (ids, written) in zip(part, encoder.encode(part)):
+            assert ids == reference.encode(text, add_special_tokens=False).ids
+            assert written == ",".join(map(str, ids))
+            assert encoder.decode(ids) == reference.decode(ids, skip_special_tokens=False)
+
+
+def test_tokens_go_together_as_merging_keeps_them():
+    bpe = bpe_trie.Bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(1)
+    for _ in range(3000):
+        pair = random.randrange(2000), random.randrange(2000)
+        assert bpe.goes_with(pair) == (bpe.merged(bpe.bytes_of[pair[0]] + bpe.bytes_of[pair[1]]) == list(pair))
+
+
+def test_bpe_query(spark, sf_dir, texts):
+    reference = library("byte_bpe_50k.json")
+    want = set()
+    for i, text in texts.items():
+        ids = reference.encode(text or "", add_special_tokens=False).ids
+        back = reference.decode(ids, skip_special_tokens=False)
+        sha = [hashlib.sha256(s.encode()).hexdigest() for s in (",".join(map(str, ids)), back)]
+        want.add((i, len(ids), *sha))
+    assert {tuple(r) for r in QUERIES["op10_bpe_trie"](spark, sf_dir).collect()} == want
+
+
+def test_bpe_of_odd_rows(odd_docs, no_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_trie.encode_texts(odd_docs.where("doc_id is not null"), path)
+    back = {r["doc_id"]: r["text"] for r in bpe_trie.decode_ids(encoded, path).collect()}
+    assert back == {r["doc_id"]: r["text"] or "" for r in odd_docs.collect() if r["doc_id"] is not None}
+    assert bpe_trie.bpe_digests(odd_docs, path).count() == odd_docs.count()
+    assert bpe_trie.bpe_digests(no_docs, path).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 70_000, 200_001])
+def test_blocks_round_trip(n):
+    random_ids = np.random.default_rng(n)
+    counts = random_ids.integers(0, 1000, 49_408) * (random_ids.random(49_408) < 0.3)
+    tables = rans_files.Tables(counts)
+    assert int(tables.freq.sum()) == 1 << rans_files.SCALE_BITS and int(tables.freq.min()) >= 1
+    ids = random_ids.integers(0, 49_408, n).astype("<u2")
+    docs, lengths = np.array([-5, 7]), np.array([n // 3, n - n // 3])
+    data = rans_files.encode_block(ids, docs, lengths, tables)
+    back = rans_files.decode_block(data, tables)
+    assert [x.tolist() for x in back] == [docs.tolist(), lengths.tolist(), ids.tolist()]
+    with pytest.raises(ValueError):
+        rans_files.decode_block(data[:50] + bytes([data[50] ^ 1]) + data[51:], tables)
+
+
+def ids_of(text, reference):
+    return [*reference.encode(text or "", add_special_tokens=False).ids, rans_files.END_ID]
+
+
+def test_files_of_odd_rows(odd_docs, no_docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    blocks, tables = rans_files.write_ids(odd_docs, path)
+    rows = sorted(rans_files.read_ids(blocks, tables).collect(), key=lambda r: r["start"])
+    reference = library("word_bpe_49k.json")
+    want = sorted(((r["doc_id"], ids_of(r["text"], reference)) for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0], len(r[1])))
+    assert [r["doc_id"] for r in rows] == [i for i, _ in want]
+    assert sorted((r["doc_id"] or 0, list(r["ids"])) for r in rows) == sorted((i or 0, ids) for i, ids in want)
+    assert [r["start"] for r in rows] == np.cumsum([0, *(len(r["ids"]) for r in rows[:-1])]).tolist()
+    blocks, tables = rans_files.write_ids(no_docs, path)
+    assert rans_files.read_checksums(blocks, tables).count() == 0
+
+
+def test_pieces_encode_as_in_their_text():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = rans_files.TokenEncoder(file.read(), 2, most=60)
+    reference = library("word_bpe_49k.json")
+    for text in [*random_texts(), "İI ΣΑΣ ﬁ Ａ word. a<|endoftext|>b don't ½ é"]:
+        assert encoder.encode([text.encode()])[0].tolist() == ids_of(text, reference)
+
+
+def test_rans_query(spark, sf_dir, texts):
+    reference = library("word_bpe_49k.json")
+    want, start = set(), 0
+    for i in sorted(texts):
+        ids = ids_of(texts[i], reference)
+        want.add((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert {tuple(r) for r in QUERIES["op3_rans_files"](spark, sf_dir).collect()} == want
+
+
+def greedy(word, pieces):
+    n = 0
+    while word:
+        k = next((k for k in range(len(word), 0, -1) if word[:k] in pieces), 0)
+        if not k:
+            return -1
+        n, word = n + 1, word[k:]
+    return n
+
+
+def test_automaton_counts_as_longest_match():
+    random.seed(3)
+    for _ in range(60):
+        pieces = {bytes(random.choices(b"abc", k=random.randint(1, 5))) for _ in range(random.randint(1, 12))}
+        automaton = Automaton.build(pieces)
+        for _ in range(60):
+            word = bytes(random.choices(b"abcd", k=random.randint(0, 14)))
+            assert automaton.count(word) == greedy(word, pieces), (pieces, word)
+
+
+def test_wordpiece_query(spark, sf_dir, texts):
+    pieces = load_pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r for r in QUERIES["op9_wordpiece_counts"](spark, sf_dir).collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in list(texts.items())[:40]:
+        words = (text or "").encode().split()
+        assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(greedy(b" " + w, pieces) for w in words))
+
+
+def test_wordpieces_of_odd_rows(odd_docs, no_docs):
+    rows = piece_counts(odd_docs, {b" ", b"one", b" one", b"t", b"w", b"o"}).collect()
+    assert len(rows) == odd_docs.count()
+    four = next(r for r in rows if r["doc_id"] == 4)
+    assert (four["n_words"], four["n_tokens"], four["n_unknown"]) == (3, 1 + 4 + 1, 1)  # one | t w o | unknown
+    assert all(r["n_tokens"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
+    assert piece_counts(no_docs, {b"a"}).count() == 0
