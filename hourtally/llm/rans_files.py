@@ -30,7 +30,6 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAGIC = b"RNS1"
 SCALE_BITS = 20
-LANES = 256
+LANES = 1024
 CHECKPOINT = 256  # steps, so LANES times as many ids
-BLOCK_IDS = 1 << 18  # at least, as documents are not divided
+BLOCK_IDS = 1 << 20  # at least, as documents are not divided
 # Range partitions: about this many bytes of ids each, and a bound on their number.
 PART_BYTES = 256_000_000
 MAX_PARTS = 200_000
@@ -167,7 +166,7 @@ class TokenEncoder:
     What is remembered is bounded and serves speed alone.
     """
 
-    def __init__(self, spec: str, end_id: int, most: int = 300_000):
+    def __init__(self, spec: str, end_id: int, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -175,48 +174,60 @@ class TokenEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_of_letter().items()}
-        self.mark = {c: tuple(t.id for t in self.model.tokenize(c)) for c in ".,;:?!|"}
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.end = (end_id,)
+        self.end = self.packed([end_id])
+        self.marks = {c: self.packed([t.id for t in self.model.tokenize(c)]) for c in ".,;:?!|"}
         self.most, self.known, self.words = most, {}, {}
 
-    def word(self, text: str) -> tuple[int, ...] | None:
-        """The ids of a word of letters in normal form, which the pattern keeps whole; None for other text."""
-        if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+    def packed(self, ids) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def word(self, lower: str) -> bytes | None:
+        """The ids of a lower-cased word of letters, which the pattern keeps whole."""
+        if not lower.isalpha():  # a few letters become a letter and a mark
             return None
-        lower = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        ids = self.words.get(lower)
-        if ids is None and lower.isalpha():  # a few letters become a letter and a mark
-            spelled = lower if lower.isascii() else "".join([self.letters[b] for b in lower.encode()])
-            ids = self.words[lower] = tuple([t.id for t in self.model.tokenize(spelled)])
-        return ids
+        spelled = lower if lower.isascii() else "".join([self.letters[b] for b in lower.encode()])
+        return self.packed([t.id for t in self.model.tokenize(spelled)])
 
     def learn(self, pieces: set[bytes]) -> None:
         for cache in (self.known, self.words):
             if len(cache) > self.most:
                 cache.clear()
-        odd = []
-        for key in pieces.difference(self.known):
+        odd, words, known, marks = [], self.words, self.known, self.marks
+        for key in pieces.difference(known):
             piece = key.decode()
-            ids = self.word(piece)
-            if ids is None and piece[-1] in ".,;:?!|":
-                ids = self.word(piece[:-1])
-                ids = ids and ids + self.mark[piece[-1]]
-            if ids:
-                self.known[key] = ids
-            else:
+            tail = b""
+            if not piece.isalpha():
+                tail = marks.get(piece[-1])
+                piece = piece[:-1]
+                if tail is None or not piece.isalpha():
+                    odd.append(key)
+                    continue
+            # The library lower-cases letter by letter, so a sigma does not look at its neighbours.
+            if not piece.isascii() and ("Σ" in piece or not unicodedata.is_normalized("NFC", piece)):
                 odd.append(key)
+                continue
+            lower = piece.lower()
+            ids = words.get(lower)
+            if ids is None:
+                ids = self.word(lower)
+                if ids is None:
+                    odd.append(key)
+                    continue
+                words[lower] = ids
+            known[key] = ids + tail
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([key.decode() for key in part], add_special_tokens=False)
-            self.known.update((key, tuple(e.ids)) for key, e in zip(part, encoded))
+            known.update((key, self.packed(e.ids)) for key, e in zip(part, encoded))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of every text, the end id after them."""
-        split = [text.split() for text in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text as ``dtype`` integers, the end id after them."""
+        # A-Z is lower-cased at once, except where a special token could come to be.
+        split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
         self.learn(set().union(*split))
         find = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(find, pieces)), self.end), self.dtype) for pieces in split]
+        return [b"".join(map(find, pieces)) + self.end for pieces in split]
 
 
 def id_type(n: int) -> np.dtype:
@@ -232,7 +243,7 @@ def read_spec(vocabulary: str) -> tuple[str, int]:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, n_ids, ids`` with the ids of a text and the end id as little-endian integers."""
+    """``doc_id, ids`` with the ids of a text and the end id as little-endian integers."""
     spec, _ = read_spec(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
 
@@ -242,11 +253,10 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataF
             tables["encoder"] = TokenEncoder(tables["spec"], end_id)
         ids = tables["encoder"].encode(utf8_of(batch))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
-            names=["doc_id", "n_ids", "ids"],
+            [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
         )
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_ids long, ids binary", work, most=1_000_000)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, ids binary", work, most=1_000_000)
 
 
 def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
@@ -256,8 +266,8 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         seen = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                seen += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype)
+            seen += np.bincount(ids, minlength=size)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], names=["id", "n"])
 
