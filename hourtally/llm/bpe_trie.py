@@ -21,6 +21,7 @@ import re
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,12 @@ class Bpe:
     rank: dict[tuple[int, int], tuple[int, int]]
     special: dict[str, int]
     parts: dict[int, tuple[int, int, int]]  # turn and sides of the merge that makes a token; -1 for bytes
-    longest: int = 0
+    # Suffixes: a trie of the tokens with the longest token that ends at each node, and the
+    # next shorter token that ends a token.
+    step: list[dict[int, int]] = field(default_factory=list)
+    back: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
+    shorter: dict[int, int] = field(default_factory=dict)
     state: dict = field(default_factory=dict)
 
     @classmethod
@@ -75,10 +81,43 @@ class Bpe:
         bytes_of = {i: b for b, i in raw.items()} | {i: t.encode() for t, i in special.items()}
         bpe = cls(raw, bytes_of, rank, special, parts)
         # A token that merging would never produce ends no encoding.
-        bpe.token_of = {b: i for b, i in raw.items() if bpe.merged(b) == [i]}
-        bpe.longest = max(map(len, bpe.token_of))
+        bpe.token_of = {b: i for b, i in raw.items() if len(b) == 1 or bpe.merged(b) == [i]}
+        bpe._link_suffixes()
         return bpe
 
+    def _link_suffixes(self) -> None:
+        self.step, self.ends, token_at = [{}], [-1], {}
+        for token, i in self.token_of.items():
+            at = 0
+            for byte in token:
+                if byte not in self.step[at]:
+                    self.step[at][byte] = len(self.step)
+                    self.step.append({})
+                    self.ends.append(-1)
+                at = self.step[at][byte]
+            self.ends[at], token_at[at] = i, i
+        self.back = [0] * len(self.step)
+        level = list(self.step[0].values())
+        for node in level:
+            for byte, child in self.step[node].items():
+                at = self.back[node]
+                while at and byte not in self.step[at]:
+                    at = self.back[at]
+                self.back[child] = self.step[at].get(byte, 0)
+                level.append(child)
+            suffix = self.ends[self.back[node]]
+            if node in token_at:
+                self.shorter[token_at[node]] = suffix
+            else:
+                self.ends[node] = suffix
+
+    def after(self, key: int) -> int:
+        """The node for the longest suffix of what node ``key >> 8`` stands for and byte ``key & 255``."""
+        node, byte = key >> 8, key & 255
+        while node and byte not in self.step[node]:
+            node = self.back[node]
+        return self.step[node].get(byte, 0)
+
     def merged(self, piece: bytes) -> list[int]:
         """The definition of BPE: apply the earliest merge, leftmost first, until none applies."""
         ids = [self.token_of[piece[i : i + 1]] for i in range(len(piece))]
@@ -113,30 +152,40 @@ class Bpe:
             if met is not None and met[0] <= most:
                 return False
 
-    def encode_words(self, words: list[bytes], pairs: Memo) -> dict[bytes, tuple[int, ...]]:
-        """The encodings of distinct words, by one depth-first walk over their trie."""
+    def encode_words(self, words: list[bytes], pairs: Memo, nodes: Memo) -> dict[bytes, tuple[int, ...]]:
+        """The encodings of distinct words, by one depth-first walk over their trie.
+
+        ``pairs`` and ``nodes`` remember ``goes_with`` and ``after``.
+        """
         encoded: dict[bytes, tuple[int, ...]] = {}
-        path: list[int] = [-1]  # the last token of each prefix of the current word
+        path, states = [-1], [0]  # last token and node for each prefix of the current word
         before = b""
-        find, longest = self.token_of.get, self.longest
+        ends, shorter = self.ends, self.shorter
+        length = self.state.setdefault("length", {})
+        if not length:
+            length.update((i, len(b)) for b, i in self.token_of.items())
         for word in sorted(words):
             shared = 0
             for x, y in zip(word, before):
                 if x != y:
                     break
                 shared += 1
-            del path[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = find(word[start:end])
-                    if token is not None and (start == 0 or pairs[path[start], token]):
-                        path.append(token)
-                        break
+            del path[shared + 1 :], states[shared + 1 :]
+            node = states[shared]
+            for end in range(shared, len(word)):
+                node = nodes[node << 8 | word[end]]
+                token = ends[node]
+                start = end + 1 - length[token]
+                while start and not pairs[path[start] << 20 | token]:
+                    token = shorter[token]
+                    start = end + 1 - length[token]
+                path.append(token)
+                states.append(node)
             before = word
             ids, end = [], len(word)
             while end:
                 ids.append(path[end])
-                end -= len(self.bytes_of[path[end]])
+                end -= length[path[end]]
             encoded[word] = tuple(reversed(ids))
         return encoded
 
@@ -153,9 +202,11 @@ class Encoder:
         self.bpe = bpe
         self.pattern = regex.compile(WORDS)
         self.special = regex.compile("|".join(map(regex.escape, bpe.special))) if bpe.special else None
-        self.pairs = Memo(bpe.goes_with, 400_000)
+        self.pairs = Memo(lambda key: bpe.goes_with((key >> 20, key & 0xFFFFF)), 500_000)
+        self.nodes = Memo(bpe.after, 300_000)
+        self.bytes_of = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
         # Words and pieces are kept until there are more than this many.
-        self.most = 200_000
+        self.most = 400_000
         self.words: dict = {}
         self.pieces: dict = {}
 
@@ -192,25 +243,27 @@ class Encoder:
         specials = {w for w in missing if isinstance(w, tuple)}
         self.words.update((w, (self.bpe.special[w[0]],)) for w in specials)
         plain = {w: w.encode() for w in missing - specials}
-        encoded = self.bpe.encode_words(list(plain.values()), self.pairs)
+        encoded = self.bpe.encode_words(list(plain.values()), self.pairs, self.nodes)
         self.words.update((w, encoded[b]) for w, b in plain.items())
         words = self.words
         for key, parts in cuts.items():
             ids = words[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([words[w] for w in parts]))
-            self.pieces[key] = ids, ",".join(map(str, ids))
+            self.pieces[key] = np.array(ids, np.int32).tobytes(), ",".join(map(str, ids))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """The ids of each text, and the same ids written with commas."""
         cuts = [self.cut(text) for text in texts]
         self.learn(set(chain.from_iterable(cuts)))
         out, find = [], self.pieces.__getitem__
         for cut in cuts:
             parts = list(map(find, cut))
-            out.append((list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])))
+            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
+            out.append((ids, ",".join([p[1] for p in parts])))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bpe.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int32).tolist()
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encoder_of(shared) -> Encoder:
