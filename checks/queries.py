@@ -15,7 +15,7 @@ from hourtally.functions.timestamps import date_token, hour_rfc3339, hour_token,
 from hourtally.operators import counting, counters, dead_letters, documents, freshness, ingest, lines
 from hourtally.operators.ingest import ACCEPTED, keep_when
 from hourtally.plans.refresh import counts_path, refresh
-from hourtally.session import ensure_checkpoint_dir, materialize, semi_join_hours
+from hourtally.session import ensure_checkpoint_dir, materialize
 from hourtally.sinks.hourly_logs import encode_records, write_hourly
 from hourtally.sinks.summaries import read_counts
 from hourtally.streaming.ingest import start_ingest
@@ -206,7 +206,7 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = materialize(_stale(spark, sf_dir).select("hour"))
     view = inputs.log_view(spark, sf_dir).withColumn("hour", utc_hour(F.col("timestamp")))
     return _with_hour_text(
-        counting.hourly_counts(semi_join_hours(view, stale)), "dim", "key", "requests"
+        counting.hourly_counts(view.join(stale.select("hour").distinct(), "hour", "left_semi")), "dim", "key", "requests"
     )
 
 

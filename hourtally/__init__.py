@@ -10,6 +10,13 @@ Packages, from the inside out:
 ``streaming``  the same work on Structured Streaming sources
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from hourtally.session import build_session, configure
 
+# Functions that run in tasks travel with them, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session", "configure"]

@@ -8,42 +8,19 @@ from pyspark.sql import functions as F
 from hourtally.functions.timestamps import hour_rfc3339
 from hourtally.schema import DIM_PATH, DIM_USER_AGENT
 
-# A document holding more than about this many bytes of keys is split.
-MAX_DOCUMENT_BYTES = 64 * 1024 * 1024
-# What a key takes in a document besides its own text and digits.
-_ENTRY_OVERHEAD = 4
 
-
-def _parts_of_large_hours(counts: DataFrame, max_document_bytes: int) -> DataFrame:
-    """``hour, parts`` for the hours that need more than one document.
-
-    Each listed hour stands for at least ``max_document_bytes`` of counts, so
-    this list is millions of times smaller than the counts and safe to broadcast.
-    """
-    entry_bytes = (
-        F.octet_length("key") + F.length(F.col("requests").cast("string")) + F.lit(_ENTRY_OVERHEAD)
-    )
-    return (
-        counts.groupBy("hour")
-        .agg(F.ceil(F.sum(entry_bytes) / F.lit(max_document_bytes)).cast("int").alias("parts"))
-        .where("parts > 1")
-    )
-
-
-def summary_documents(counts: DataFrame, max_document_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+def summary_documents(counts: DataFrame, parts: int = 1) -> DataFrame:
     """``hour, part, parts, document`` with keys in byte order.
 
     An hour is one JSON document of the form ``{"hour": ..., "requestsPerPath":
-    {...}, "requestsPerUserAgent": {...}}``. An hour with more keys than fit is
-    several documents of that form with disjoint keys, so that no hour has to
-    pass through one row; together they hold every key. Other ``dim`` values
-    only make sure that their hour gets a document, if an empty one.
+    {...}, "requestsPerUserAgent": {...}}``. With more ``parts`` every hour is up
+    to that many documents of this form, over which its keys are dealt by a hash,
+    for hours with too many keys for one row; together they hold every key. The
+    form depends on ``parts`` alone, never on the size of an hour. Other ``dim``
+    values only make sure that their hour gets a document, if an empty one.
     """
-    large = _parts_of_large_hours(counts, max_document_bytes)
-    placed = (
-        counts.join(F.broadcast(large), "hour", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("dim", "key"), F.col("parts")).cast("int"))
+    placed = counts.withColumn("parts", F.lit(parts)).withColumn(
+        "part", F.pmod(F.xxhash64("dim", "key"), F.lit(parts)).cast("int")
     )
     entries = lambda dim: F.array_sort(
         F.collect_list(F.when(F.col("dim") == dim, F.struct("key", "requests")))

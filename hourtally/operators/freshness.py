@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourtally.functions.keys import LOG_SUFFIX, hour_from_key
 from hourtally.operators.ingest import keep_when
 from hourtally.schema import DIM_OVERSIZED
+from hourtally.sources.files import is_hidden
 
 
 def log_objects(listing: DataFrame) -> DataFrame:
@@ -15,9 +16,10 @@ def log_objects(listing: DataFrame) -> DataFrame:
 
     Keeps ``key, modified, bytes`` and adds ``hour``; files with another suffix
     and keys without a date and hour are left out. Files below ``date=/hour=``
-    folders count whatever their suffix.
+    folders count whatever their suffix, but hidden ones, which are not logs.
     """
-    is_log = F.endswith("key", F.lit(LOG_SUFFIX)) | F.contains(F.col("key"), F.lit("/hour="))
+    written = F.contains(F.col("key"), F.lit("/hour=")) & ~is_hidden(F.col("key"))
+    is_log = F.endswith("key", F.lit(LOG_SUFFIX)) | written
     located = listing.withColumn("hour", F.when(is_log, hour_from_key(F.col("key"))))
     return keep_when(located, F.col("hour").isNotNull(), *listing.columns, "hour")
 

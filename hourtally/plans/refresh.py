@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally.functions.keys import LOG_SUFFIX, hour_of_token
-from hourtally.operators.documents import MAX_DOCUMENT_BYTES, summary_documents
+from hourtally.operators.documents import summary_documents
 from hourtally.operators.freshness import log_objects, oversized_hours, stale_hours, unexpected_objects
 from hourtally.operators.lines import MAX_LINE_BYTES, count_decoded, decode_lines
 from hourtally.schema import DIM_LISTED, DIM_MALFORMED
-from hourtally.session import materialize, semi_join_hours, work_folder
+from hourtally.session import materialize, work_folder
 from hourtally.sinks.summaries import write_counts, write_documents
-from hourtally.sources.hourly_logs import read_lines
+from hourtally.sources.files import is_hidden
+from hourtally.sources.hourly_logs import read_listed_lines
 from hourtally.sources.listing import flat_objects, list_objects, list_summaries, qualified_path
 
-# Up to this many folders (or single files) are named to the scan; beyond, it
-# reads the whole root and the hours are selected after counting.
-MAX_SCAN_PATHS = 20_000
+# Folders (or single files) that one scan reads. All are read, group after
+# group; the driver holds the names of one group.
+PATHS_PER_SCAN = 2_000
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,11 @@ def runs_path(analytics_root: str) -> str:
 def hour_folders(objects: DataFrame) -> DataFrame:
     """``hour, folder, objects, bytes, latest``: what to read for each hour.
 
-    The folder of a sharded hour, or the file itself where a file is an hour.
+    The folder of a sharded hour, or the file itself where a file is an hour or
+    is hidden from Spark's readers.
     """
     is_hour_file = F.col("key").rlike(r"/[0-9]{4}-[0-9]{2}-[0-9]{2}/[0-9]{1,2}\.log\.json\z")
-    folder = F.when(is_hour_file, F.col("key")).otherwise(F.regexp_replace("key", r"/[^/]*\z", ""))
+    folder = F.when(is_hour_file | is_hidden(F.col("key")), F.col("key")).otherwise(F.regexp_replace("key", r"/[^/]*\z", ""))
     return objects.groupBy("hour", folder.alias("folder")).agg(
         F.count(F.lit(1)).alias("objects"),
         F.sum("bytes").alias("bytes"),
@@ -66,26 +69,34 @@ def count_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataF
     return counted.select(hour_of_token(F.col("token")).alias("hour"), "dim", "key", "requests")
 
 
+def folder_groups(folders: DataFrame, paths_per_scan: int = PATHS_PER_SCAN) -> Iterator[list[str]]:
+    """The folders to read, in key order and in groups of at most ``paths_per_scan``."""
+    names = folders.select("folder").distinct().orderBy("folder").toLocalIterator()
+    while group := [row["folder"] for row in islice(names, paths_per_scan)]:
+        yield group
+
+
 def count_hours(
     spark: SparkSession,
-    logs_root: str,
     folders: DataFrame,
     max_line_bytes: int = MAX_LINE_BYTES,
-    max_scan_paths: int = MAX_SCAN_PATHS,
+    paths_per_scan: int = PATHS_PER_SCAN,
+    folder: str | None = None,
 ) -> DataFrame:
     """Counts of the hours in ``folders``, which must be materialized.
 
-    Each hour also gets a ``listed`` row with its number of objects, so that an
+    Only the listed folders and files are read, whatever their number. Each
+    hour also gets a ``listed`` row with its number of objects, so that an
     hour without a single good line still is an hour with a summary.
     """
     hours = folders.groupBy("hour").agg(F.sum("objects").alias("requests"))
     listed = hours.select("hour", F.lit(DIM_LISTED).alias("dim"), F.lit("").alias("key"), "requests")
-    paths = [row["folder"] for row in folders.select("folder").distinct().limit(max_scan_paths + 1).collect()]
-    if len(paths) <= max_scan_paths:
-        counts = count_lines(read_lines(spark, paths), max_line_bytes)
-    else:
-        counts = semi_join_hours(count_lines(read_lines(spark, logs_root), max_line_bytes), hours)
-    return counts.unionByName(listed)
+    counts = listed
+    for group in folder_groups(folders, paths_per_scan):
+        lines = read_listed_lines(spark, group)
+        counts = counts.unionByName(materialize(count_lines(lines, max_line_bytes), folder))
+    # An hour's flat file and its shards may lie in two groups.
+    return counts.groupBy("hour", "dim", "key").agg(F.sum("requests").alias("requests"))
 
 
 @dataclass(frozen=True)
@@ -94,8 +105,8 @@ class _Options:
     hour: datetime | None
     layout: str
     max_line_bytes: int
-    max_scan_paths: int
-    max_document_bytes: int
+    paths_per_scan: int
+    document_parts: int
 
 
 def _locate(spark: SparkSession, logs_root: str, options: _Options) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +146,6 @@ def _missed_hours(before: DataFrame, now: DataFrame, summaries: DataFrame) -> Da
 
 def _summarise(
     spark: SparkSession,
-    logs_root: str,
     analytics_root: str,
     to_read: DataFrame,
     hours: int,
@@ -143,16 +153,16 @@ def _summarise(
     folder: str,
 ) -> tuple[int, int]:
     """Count the hours and replace their summaries; returns failed hours and malformed lines."""
-    counted = count_hours(spark, logs_root, to_read, options.max_line_bytes, options.max_scan_paths)
+    counted = count_hours(spark, to_read, options.max_line_bytes, options.paths_per_scan, folder)
     counts = materialize(counted, folder)
     failed = oversized_hours(counts).select("hour").distinct()
     malformed = counts.where(F.col("dim") == DIM_MALFORMED).agg(F.sum("requests")).first()[0] or 0
     failed_hours = failed.count()
-    good = semi_join_hours(counts, failed, "left_anti") if failed_hours else counts
+    good = counts.join(failed, "hour", "left_anti") if failed_hours else counts
     if failed_hours < hours:
         # The summary marks an hour as done, so it is written last.
         write_counts(good, counts_path(analytics_root))
-        write_documents(summary_documents(good, options.max_document_bytes), summaries_path(analytics_root))
+        write_documents(summary_documents(good, options.document_parts), summaries_path(analytics_root))
     return failed_hours, malformed
 
 
@@ -172,7 +182,7 @@ def _refresh(
     while hours := todo.count():
         to_read = folders.join(todo.select("hour"), "hour", "left_semi")
         failed_now, malformed_now = _summarise(
-            spark, logs_root, analytics_root, to_read, hours, options, folder
+            spark, analytics_root, to_read, hours, options, folder
         )
         refreshed, failed, malformed = refreshed + hours - failed_now, failed + failed_now, malformed + malformed_now
         folders, state, summaries, _ = look()
@@ -188,8 +198,8 @@ def refresh(
     hour: datetime | None = None,
     layout: str = "any",
     max_line_bytes: int = MAX_LINE_BYTES,
-    max_scan_paths: int = MAX_SCAN_PATHS,
-    max_document_bytes: int = MAX_DOCUMENT_BYTES,
+    paths_per_scan: int = PATHS_PER_SCAN,
+    document_parts: int = 1,
 ) -> RefreshReport:
     """Recount every stale hour below ``logs_root``, or only those of some days or one hour.
 
@@ -201,7 +211,7 @@ def refresh(
     started = datetime.now(timezone.utc)
     report, error = None, None
     try:
-        options = _Options(dates() if callable(dates) else dates, hour, layout, max_line_bytes, max_scan_paths, max_document_bytes)
+        options = _Options(dates() if callable(dates) else dates, hour, layout, max_line_bytes, paths_per_scan, document_parts)
         with work_folder(spark) as folder:
             report = _refresh(spark, logs_root, analytics_root, options, folder)
         return report

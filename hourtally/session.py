@@ -18,11 +18,6 @@ REQUIRED_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# A broadcast side is a list of hours: at most this many rows of a timestamp,
-# some 40 MB once built into a hash relation.
-MAX_BROADCAST_HOURS = 500_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in REQUIRED_CONF.items():
@@ -40,22 +35,6 @@ def build_session(app: str = "hourtally", master: str | None = None, **conf: str
     return configure(builder.getOrCreate())
 
 
-@contextmanager
-def spread_writes(spark: SparkSession) -> Iterator[None]:
-    """Keep the reducers of a rebalancing shuffle apart while writing hourly folders.
-
-    A small hour lies in one reducer, so merging reducers would not save a
-    single file; it would only make fewer tasks write them all.
-    """
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one where none is set."""
     context = spark.sparkContext
@@ -93,21 +72,3 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
     finally:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fits_broadcast(hours: DataFrame, max_rows: int = MAX_BROADCAST_HOURS) -> bool:
-    """Whether a materialized list of hours is small enough to broadcast."""
-    return hours.limit(max_rows + 1).count() <= max_rows
-
-
-def semi_join_hours(
-    rows: DataFrame, hours: DataFrame, how: str = "left_semi", max_rows: int = MAX_BROADCAST_HOURS
-) -> DataFrame:
-    """Keep (or, with ``left_anti``, drop) the rows of the given hours.
-
-    ``hours`` must be materialized: its size is counted first. Up to
-    ``max_rows`` it is broadcast, so ``rows`` is not shuffled and a hot hour
-    stays spread over its input tasks; beyond, Spark picks the join.
-    """
-    side = hours.select("hour").distinct()
-    return rows.join(F.broadcast(side) if fits_broadcast(hours, max_rows) else side, "hour", how)

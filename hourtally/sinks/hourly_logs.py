@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hourtally.functions.json_records import record_to_json
 from hourtally.functions.timestamps import date_token, format_rfc3339, hour_token, stored_time
-from hourtally.session import spread_writes
 
 # The accepted codec names and what Spark and Kafka call them.
 CODECS = {
@@ -55,5 +54,4 @@ def write_hourly(records: DataFrame, root: str, compression: str = "none", rebal
         .option("lineSep", "\n")
         .option("compression", compression_option(compression))
     )
-    with spread_writes(records.sparkSession):
-        writer.text(root)
+    writer.text(root)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hourtally.functions.timestamps import date_token, hour_token
 from hourtally.schema import HOURLY_COUNT
-from hourtally.session import spread_writes
 
 
 def _by_hour(df: DataFrame, *columns: str) -> DataFrame:
@@ -30,8 +29,7 @@ def _replace_hours(df: DataFrame):
 def write_counts(counts: DataFrame, root: str) -> None:
     """Store ``hour, dim, key, requests``, the table that queries should read."""
     writer = _replace_hours(_by_hour(counts, "dim", "key", "requests"))
-    with spread_writes(counts.sparkSession):
-        writer.parquet(root)
+    writer.parquet(root)
 
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -48,8 +46,7 @@ def read_counts(spark: SparkSession, root: str) -> DataFrame:
 def write_documents(documents: DataFrame, root: str) -> None:
     """Store one JSON document per line, one line per hour and part."""
     writer = _replace_hours(_by_hour(documents, "document")).option("lineSep", "\n")
-    with spread_writes(documents.sparkSession):
-        writer.text(root)
+    writer.text(root)
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

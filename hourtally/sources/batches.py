@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally.operators.ingest import MAX_BODY_BYTES
+from hourtally.sources.files import is_hidden, read_hidden_texts
+from hourtally.sources.listing import list_objects, literal_path, path_exists
 
 # Media types by file suffix; another suffix has no known type.
 MEDIA_TYPES = {".json": "application/json", ".csv": "text/csv"}
@@ -18,12 +22,17 @@ def media_type(file_path: Column) -> Column:
     return kind
 
 
+def _unread(files: DataFrame, body) -> DataFrame:
+    """Outcomes need these bodies' sizes, and no more of them than ``body``."""
+    kind = media_type(F.col("batch_id"))
+    return files.select("batch_id", kind.alias("content_type"), body.cast("string").alias("body"), "body_bytes")
+
+
 def _bodies(reader, folder: str, max_body_bytes: int) -> DataFrame:
     path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    columns = [path.alias("batch_id"), media_type(path).alias("content_type")]
-    files = reader.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    files = reader.option("recursiveFileLookup", "true").text(literal_path(folder), wholetext=True)
     return files.where(size <= max_body_bytes).select(
-        *columns, F.col("value").alias("body"), size.alias("body_bytes")
+        path.alias("batch_id"), media_type(path).alias("content_type"), F.col("value").alias("body"), size.alias("body_bytes")
     )
 
 
@@ -31,25 +40,37 @@ def read_body_files(spark: SparkSession, folder: str, max_body_bytes: int = MAX_
     """``batch_id, content_type, body, body_bytes`` of every file below ``folder``.
 
     A file above the limit is never read: it is known by its size alone and
-    has a NULL body. Its size still makes it a too large batch.
+    has a NULL body. Its size still makes it a too large batch. Empty files have
+    an empty body, and hidden ones are read by the tasks that list them.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .where(F.col("length") > max_body_bytes)
-        .select(
-            F.col("path").alias("batch_id"),
-            media_type(F.col("path")).alias("content_type"),
-            F.lit(None).cast("string").alias("body"),
-            F.col("length").alias("body_bytes"),
-        )
-    )
-    return _bodies(spark.read, folder, max_body_bytes).unionByName(listed)
+    listed = list_objects(spark, folder).withColumnsRenamed({"key": "batch_id", "bytes": "body_bytes"})
+    size, hidden = F.col("body_bytes"), is_hidden(F.col("batch_id"))
+    empty = _unread(listed.where(size == 0), F.lit(""))
+    large = _unread(listed.where(size > max_body_bytes), F.lit(None))
+    unseen = listed.where(hidden & (size > 0) & (size <= max_body_bytes))
+    texts = read_hidden_texts(unseen.select(F.col("batch_id").alias("key")))
+    known = texts.select(F.col("key").alias("batch_id"), "body", F.octet_length("body").cast("long").alias("body_bytes"))
+    parts = [empty, large, _unread(known, F.col("body"))]
+    if path_exists(spark, folder):
+        parts.append(_bodies(spark.read, folder, max_body_bytes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stream_body_files(
     spark: SparkSession, folder: str, files_per_batch: int = 1000, max_body_bytes: int = MAX_BODY_BYTES
 ) -> DataFrame:
-    """The same as a stream of arriving files; files above the limit are passed over."""
-    return _bodies(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, max_body_bytes)
+    """The same as a stream of arriving files, too large ones included.
+
+    Spark's streams of files show neither empty nor hidden ones; a run of
+    ``read_body_files`` over the folder finds those.
+    """
+    bodies = _bodies(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, max_body_bytes)
+    listed = (
+        spark.readStream.format("binaryFile")
+        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(literal_path(folder))
+        .select(F.col("path").alias("batch_id"), F.col("length").alias("body_bytes"))
+    )
+    return bodies.unionByName(_unread(listed.where(F.col("body_bytes") > max_body_bytes), F.lit(None)))

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally.functions.keys import LOG_SUFFIX, token_of_file_path
+from hourtally.sources.files import read_hidden_lines
+from hourtally.sources.listing import literal_path
+
+
+HIDDEN = re.compile(r"(?:\A|/)(?:[_.][^/]*|[^/]*\._COPYING_)\Z")
+
+
+def read_listed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``value, token`` of the lines of listed folders and files, taken literally."""
+    hidden = [path for path in paths if HIDDEN.search(path) and path.endswith(LOG_SUFFIX)]
+    visible = [literal_path(path) for path in paths if path not in set(hidden)]
+    parts = [read_lines(spark, visible)] if visible else []
+    if hidden:
+        lines = read_hidden_lines(spark, hidden)
+        parts.append(lines.select("value", token_of_file_path(F.col("path")).alias("token")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

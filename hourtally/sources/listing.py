@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourtally.functions.keys import LOG_SUFFIX, hour_from_flat_path, hour_from_summary_key
+from hourtally.sources.files import list_files
 
 LISTING = T.StructType(
     [
@@ -23,10 +26,13 @@ def _on_file_system(spark: SparkSession, path: str):
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or glob matches anything on its file system."""
     hadoop_path, file_system = _on_file_system(spark, path)
-    found = file_system.globStatus(hadoop_path)
-    return found is not None and len(found) > 0
+    return file_system.exists(hadoop_path)
+
+
+def literal_path(path: str) -> str:
+    """A path as Spark's readers take it, which read most marks as patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def qualified_path(spark: SparkSession, path: str) -> str:
@@ -36,50 +42,41 @@ def qualified_path(spark: SparkSession, path: str) -> str:
 
 
 def list_objects(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
-    """``key, modified, bytes`` of every file below ``root``.
+    """``key, modified, bytes`` of every file below ``root``, hidden and empty ones included.
 
     ``dates`` limits the walk to the folders of those days. A missing root is an
-    empty listing. File contents are not read: the column is never selected.
+    empty listing. File contents are not read. Where Arrow cannot open the file
+    system, Spark lists it and leaves hidden and empty files out.
     """
-    paths = [root]
-    if dates is not None:
-        paths = [f"{root.rstrip('/')}/{prefix}{day}" for day in dates for prefix in ("", "date=")]
-    paths = [p for p in paths if path_exists(spark, p)]
-    if not paths:
+    days = None if dates is None else {prefix + day for day in dates for prefix in ("", "date=")}
+    try:
+        return list_files(spark, qualified_path(spark, root), days)
+    except ValueError:
+        return _listed_by_spark(spark, root, days)
+
+
+def _listed_by_spark(spark: SparkSession, root: str, days: set[str] | None) -> DataFrame:
+    if not path_exists(spark, root):
         return spark.createDataFrame([], LISTING)
-    filled = (
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(paths)
+        .load(literal_path(root))
         .select(
             F.col("path").alias("key"),
             F.col("modificationTime").alias("modified"),
             F.col("length").alias("bytes"),
         )
     )
-    return filled.unionByName(_empty_hour_files(spark, root, dates))
-
-
-def _empty_hour_files(spark: SparkSession, root: str, dates: list[str] | None) -> DataFrame:
-    """The empty ``<root>/<date>/<HH>.log.json`` files, which Spark's sources leave out.
-
-    This layout has one file per hour, so the glob is as long as the calendar,
-    whatever the size of the logs. Sharded hours are never written empty.
-    """
-    days = dates if dates is not None else ["[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"]
-    rows = []
-    for day in days:
-        hadoop_path, file_system = _on_file_system(spark, f"{root.rstrip('/')}/{day}/*{LOG_SUFFIX}")
-        for status in file_system.globStatus(hadoop_path) or []:
-            if status.getLen() == 0:
-                rows.append((status.getPath().toString(), status.getModificationTime()))
-    frame = spark.createDataFrame(rows, "key STRING, millis BIGINT")
-    return frame.select("key", F.timestamp_millis("millis").alias("modified"), F.lit(0).cast("bigint").alias("bytes"))
+    if days is None:
+        return listed
+    below = F.substring("key", len(qualified_path(spark, root).rstrip("/")) + 2, 2**30)
+    return listed.where(F.substring_index(below, "/", 1).isin(sorted(days)))
 
 
 def list_log_objects(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
     """The ``.log.json`` files of a listing, sorted by key."""
-    return list_objects(spark, root, dates).where(F.endswith("key", F.lit(".log.json"))).orderBy("key")
+    return list_objects(spark, root, dates).where(F.endswith("key", F.lit(LOG_SUFFIX))).orderBy("key")
 
 
 def flat_objects(listing: DataFrame, root: str) -> DataFrame:

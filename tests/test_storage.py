@@ -390,31 +390,31 @@ def test_single_hour(spark, tmp_path):
     assert missing == RefreshReport()
 
 
-def test_scan_beyond_the_path_bound(spark, tmp_path):
-    """The same result when the stale paths are too many to name."""
+def test_scans_in_groups(spark, tmp_path):
+    """The same result when the stale folders take several scans."""
     logs, out = tmp_path / "logs", tmp_path / "out"
     for hour in range(5):
         put(logs, f"2025-11-15/{hour:02}/pod.log.json", [line(f"/{hour}")])
     put(logs, "stray.log.json", [line("/stray")])
     refresh_hour(spark, str(logs), str(out), datetime(2025, 11, 15, 2))
     before = sorted(p.name for p in (out / "summaries" / "date=2025-11-15" / "hour=02").iterdir())
-    assert refresh(spark, str(logs), str(out), max_scan_paths=2).refreshed_hours == 4
+    assert refresh(spark, str(logs), str(out), paths_per_scan=2).refreshed_hours == 4
     assert sorted(p.name for p in (out / "summaries" / "date=2025-11-15" / "hour=02").iterdir()) == before
     assert {list(paths)[0] for paths, _ in summaries(spark, out).values()} == {f"/{h}" for h in range(5)}
 
 
-def test_large_hours_split_into_documents(spark, tmp_path):
+def test_documents_in_parts(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
     put(logs, "2025-11-15/14.log.json", [line(f"/{i}", f"ua{i % 90}") for i in range(500)])
     put(logs, "2025-11-15/15.log.json", [line()])
-    refresh(spark, str(logs), str(out), max_document_bytes=600)
+    refresh(spark, str(logs), str(out), document_parts=8)
     found = summaries(spark, out)
     assert found["2025-11-15T14:00:00Z"][0] == {f"/{i}": 1 for i in range(500)}
     assert sum(found["2025-11-15T14:00:00Z"][1].values()) == 500
     assert found["2025-11-15T15:00:00Z"] == ({"/home": 1}, {"ua1": 1})
     counts = read_counts(spark, counts_path(str(out)))
-    parts = {r["hour"].hour: r["n"] for r in summary_documents(counts, 600).groupBy("hour").agg(F.count("*").alias("n")).collect()}
-    assert parts[15] == 1 and parts[14] > 5
+    parts = {r["hour"].hour: r["n"] for r in summary_documents(counts, 8).groupBy("hour").agg(F.count("*").alias("n")).collect()}
+    assert parts[15] <= 3 and parts[14] == 8
 
 
 def test_missing_log_root(spark, tmp_path):
