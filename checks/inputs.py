@@ -6,12 +6,15 @@ placed by id. Nothing is left out: a fault only changes how a row is written.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally import configure
 from hourtally.functions.keys import flat_log_key, sanitize_writer_id, shard_log_key
 from hourtally.functions.timestamps import date_token, format_rfc3339, hour_token
+from hourtally.sources.files import open_file_system
 
 RECORDS_PER_BATCH = 10
 # Bodies above this are too large; the padded ones are.
@@ -220,3 +223,35 @@ def failure_reason(id_column: str) -> Column:
 
 def text_time(ts: Column) -> Column:
     return format_rfc3339(ts.cast("timestamp"))
+
+
+def write_log_files(view: DataFrame, root: str, name: Column, empty: str | None = None) -> None:
+    """``<root>/<date>/<HH><name>.log.json`` files of the events, one per hour and name.
+
+    Spark's writers choose their files' names themselves, so tasks write these;
+    ``root`` is on a file system that Arrow opens. ``empty`` adds an empty file
+    to every hour.
+    """
+    key = F.concat(date_token(F.col("timestamp")), F.lit("/"), hour_token(F.col("timestamp")), name, F.lit(".log.json"))
+    line = _json(format_rfc3339(F.col("timestamp")), F.col("path"), F.col("userAgent"))
+
+    def write(batches):
+        file_system, base = open_file_system(root)
+        out, current = None, None
+        for batch in batches:
+            for key, line in zip(batch.column("key").to_pylist(), batch.column("line").to_pylist()):
+                if key != current:
+                    if out:
+                        out.close()
+                    path, current = f"{base}/{key}", key
+                    file_system.create_dir(path.rpartition("/")[0])
+                    out = file_system.open_output_stream(path)
+                    if empty:
+                        file_system.open_output_stream(re.sub("(/[0-9]{2})(/[^/]*)?$", r"\1", path.removesuffix(".log.json")) + empty + ".log.json").close()
+                out.write(f"{line}\n".encode())
+        if out:
+            out.close()
+        yield from ()
+
+    rows = view.select(key.alias("key"), line.alias("line")).repartition("key").sortWithinPartitions("key")
+    rows.mapInArrow(write, "done INT").count()

@@ -192,4 +192,17 @@ SELECT CASE WHEN event_id % 5 IN (0, 2, 3) THEN 'transient' ELSE 'permanent' END
 FROM good GROUP BY ALL""",
     "stored_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
     "streamed_hourly_counts": f"WITH {_LINES} {_GOOD_COUNTS}",
+    "oddly_named_counts": f"WITH {_LOGS} {_counts('logs')}",
+    "flat_refresh_counts": f"WITH {_LOGS}, even AS (SELECT * FROM logs WHERE event_id % 2 = 0) {_counts('even')}",
+    "compressed_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
+    "pipeline_counters": f"""WITH {_batches('mixed')}
+SELECT 'log_batches_received_total' AS metric, count(*) FILTER (WHERE status = 202) AS value FROM outcomes
+UNION ALL
+SELECT 'invalid_requests_total', count(*) FILTER (WHERE status <> 202) FROM outcomes
+UNION ALL
+SELECT 'logs_ingested_total', coalesce(sum(n_records), 0)::BIGINT FROM outcomes
+UNION ALL
+SELECT 'ingest_errors_total', 0
+UNION ALL
+SELECT 'aggregation_runs_total', 1""",
 }

@@ -14,10 +14,12 @@ from hourtally.functions import keys
 from hourtally.functions.timestamps import date_token, hour_rfc3339, hour_token, utc_hour
 from hourtally.operators import counting, counters, dead_letters, documents, freshness, ingest, lines
 from hourtally.operators.ingest import ACCEPTED, keep_when
-from hourtally.plans.refresh import counts_path, refresh
+from hourtally.plans.ingest import publish_batches
+from hourtally.plans.refresh import counts_path, refresh, runs_path
 from hourtally.session import ensure_checkpoint_dir, materialize
 from hourtally.sinks.hourly_logs import encode_records, write_hourly
 from hourtally.sinks.summaries import read_counts
+from hourtally.sources.hourly_logs import read_lines
 from hourtally.streaming.ingest import start_ingest
 
 HOUR = datetime(2024, 1, 15, 10, 30)
@@ -290,6 +292,51 @@ def streamed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_hour_text(counts.where(F.col("dim") != "listed"), "dim", "key", "requests")
 
 
+def _listed_counts(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Refresh what lies below ``folder`` and read the counts back."""
+    refresh(spark, f"{folder}/logs", f"{folder}/analytics", **options)
+    counts = read_counts(spark, counts_path(f"{folder}/analytics"))
+    return _with_hour_text(counts.where(F.col("dim") != "listed"), "dim", "key", "requests")
+
+
+def oddly_named_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards with hidden names and empty shards, below a folder whose name looks like a pattern."""
+    folder = _fresh_folder(spark) + "-[1] {x}*"
+    name = F.element_at(F.array(*map(F.lit, ("pod", "_pod", ".pod"))), (F.col("event_id") % 3 + 1).cast("int"))
+    inputs.write_log_files(inputs.log_view(spark, sf_dir), f"{folder}/logs", F.concat(F.lit("/"), name), empty="/none")
+    return _listed_counts(spark, folder)
+
+
+def flat_refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat files alone, where the same hours have shards too."""
+    folder = _fresh_folder(spark)
+    shard = F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("/pod"))
+    inputs.write_log_files(inputs.log_view(spark, sf_dir), f"{folder}/logs", shard)
+    return _listed_counts(spark, folder, layout="flat", paths_per_scan=100)
+
+
+def compressed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly logs as gzip files, counted without a refresh."""
+    folder = _fresh_folder(spark)
+    write_hourly(inputs.log_view(spark, sf_dir), f"{folder}/logs", "gzip")
+    decoded = lines.decode_lines(read_lines(spark, f"{folder}/logs"))
+    counted = lines.count_decoded(decoded, "token").withColumn("hour", keys.hour_of_token(F.col("token")))
+    return _with_hour_text(counted, "dim", "key", "requests")
+
+
+def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five counters: batches published to the hourly logs, then one refresh of them."""
+    folder = _fresh_folder(spark)
+    totals = publish_batches(
+        inputs.raw_batches(spark, sf_dir, "mixed").withColumn("batch_id", F.col("batch_id").cast("string")),
+        lambda records: write_hourly(records, f"{folder}/logs"),
+        f"{folder}/dead",
+    )
+    refresh(spark, f"{folder}/logs", f"{folder}/analytics")
+    runs = counters.run_counters(spark.read.json(runs_path(f"{folder}/analytics")))
+    return spark.createDataFrame(list(totals.items()), "metric STRING, value BIGINT").unionByName(runs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -326,5 +373,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dlq_triage,
         stored_hourly_counts,
         streamed_hourly_counts,
+        oddly_named_counts,
+        flat_refresh_counts,
+        compressed_hourly_counts,
+        pipeline_counters,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourtally.operators.ingest import ACCEPTED
+from hourtally.operators.ingest import ACCEPTED, STORE_ERROR
 
 # The counter names.
 BATCHES_RECEIVED = "log_batches_received_total"
@@ -29,9 +29,9 @@ def batch_totals(store_failed: Column) -> list[Column]:
     stored = accepted & ~store_failed
     return [
         _total(stored).alias(BATCHES_RECEIVED),
-        _total(~accepted).alias(INVALID_REQUESTS),
+        _total(~accepted & (F.col("status") != STORE_ERROR)).alias(INVALID_REQUESTS),
         _total(stored, F.size("records")).alias(LOGS_INGESTED),
-        _total(accepted & store_failed).alias(INGEST_ERRORS),
+        _total((accepted & store_failed) | (F.col("status") == STORE_ERROR)).alias(INGEST_ERRORS),
     ]
 
 

@@ -23,7 +23,14 @@ from hourtally.functions.timestamps import is_zero_time, parse_rfc3339
 
 MAX_BODY_BYTES = 2 * 1024 * 1024
 
-ACCEPTED, INVALID, TOO_LARGE, UNSUPPORTED = 202, 400, 413, 415
+ACCEPTED, INVALID, TOO_LARGE, UNSUPPORTED, STORE_ERROR = 202, 400, 413, 415, 500
+
+UNSTORABLE = "timestamp outside of the years 0 to 9999"
+
+
+def is_storable(ts: Column) -> Column:
+    """Whether a time can be written as RFC 3339 text and found below its date; a missing one can."""
+    return F.coalesce(F.year(ts).between(0, 9999), F.lit(True))
 
 
 def keep_when(df: DataFrame, condition: Column, *columns: str) -> DataFrame:
@@ -95,6 +102,7 @@ def _outcome_stages(max_body_bytes: int, sized: bool) -> Stages:
             lambda c: F.concat(F.lit("record "), c["index"].cast("string"), F.lit(" missing "), c["missing"]),
         )
     )
+    unstorable = F.exists(checked, lambda c: ~is_storable(c["record"]["timestamp"]))
     reason = (
         F.when(
             kind == "unsupported",
@@ -105,12 +113,13 @@ def _outcome_stages(max_body_bytes: int, sized: bool) -> Stages:
         .when((kind == "csv") & (F.size(rows) == 0), F.lit("empty CSV payload"))
         .when((kind == "csv") & checked.isNull(), F.lit("invalid CSV payload"))
         .when(F.size(checked) == 0, F.lit("no log records provided"))
-        .otherwise(F.coalesce(problem, missing, F.lit("")))
+        .otherwise(F.coalesce(problem, missing, F.when(unstorable, UNSTORABLE), F.lit("")))
     )
     status = (
         F.when(kind == "unsupported", UNSUPPORTED)
         .when(kind == "large", TOO_LARGE)
         .when(F.col("reason") == "", ACCEPTED)
+        .when(F.col("reason") == UNSTORABLE, STORE_ERROR)
         .otherwise(INVALID)
     )
     return [
@@ -139,7 +148,8 @@ def batch_outcomes(batches: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) ->
     """Each batch with ``status``, ``reason`` and, when accepted, its ``records``.
 
     The reason is empty for an accepted batch. Checks run in a fixed order:
-    media type, size, syntax, then the records one by one. A ``body_bytes``
+    media type, size, syntax, then the records one by one; last, whether every
+    time can be stored, which is an error of the store and not of the batch. A ``body_bytes``
     column, where there is one, gives the size in place of the body itself.
     """
     outcomes = with_stages(batches, _outcome_stages(max_body_bytes, "body_bytes" in batches.columns))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourtally.operators.counters import INGEST_ERRORS, batch_totals
+from hourtally.operators.counters import batch_totals
 from hourtally.operators.dead_letters import producer_dead_letters
 from hourtally.operators.ingest import ACCEPTED, batch_outcomes, keep_when, rejected_batches, validated_records
+from hourtally.session import materialize
 from hourtally.sinks.dead_letters import write_producer_dead_letters
 from hourtally.sinks.hourly_logs import write_hourly
 
@@ -29,34 +30,39 @@ def short_reason(error: BaseException) -> str:
     return text.splitlines()[0] if text else type(error).__name__
 
 
+def _decoded_once(batches: DataFrame) -> DataFrame:
+    """The outcomes as a table, so that records, rejects and totals are of one decoding."""
+    return materialize(batch_outcomes(batches).select("batch_id", "status", "reason", "records"))
+
+
+def _totals(outcomes: DataFrame, store_failed: bool) -> dict[str, int]:
+    return outcomes.agg(*batch_totals(F.lit(store_failed))).first().asDict()
+
+
 def store_batches(batches: DataFrame, logs_root: str, rejects_root: str | None = None, compression: str = "none") -> dict[str, int]:
-    """Validate the batches and append the accepted records to the hourly logs.
+    """Validate the batches, append the accepted records to the hourly logs and return the counters.
 
-    Returns the totals Spark observed while writing. A task that had to run
-    again may be observed twice; exact totals are ``ingest_counters`` over
-    ``batch_outcomes``. The rejects, if wanted, are a second pass.
+    A failing write is raised; ``publish_batches`` turns one into dead letters.
     """
-    outcomes = batch_outcomes(batches)
-    observation = Observation("ingest")
-    observed = outcomes.observe(observation, *batch_totals(F.lit(False)))
-    write_hourly(validated_records(observed), logs_root, compression)
+    outcomes = _decoded_once(batches)
+    write_hourly(validated_records(outcomes), logs_root, compression)
     if rejects_root:
         rejected_batches(outcomes).write.mode("append").parquet(rejects_root)
-    return dict(observation.get)
+    return _totals(outcomes, False)
 
 
 def publish_batches(batches: DataFrame, publish: Callable[[DataFrame], None], dead_letter_root: str) -> dict[str, int]:
-    """Validate the batches and hand the accepted records to ``publish``.
+    """Validate the batches, hand the accepted records to ``publish`` and return the counters.
 
     When publishing fails, every accepted batch becomes one dead letter with
-    the reason; the job itself does not fail.
+    the reason, and counts as an error; the job itself does not fail.
     """
-    outcomes = batch_outcomes(batches)
+    outcomes = _decoded_once(batches)
     try:
         publish(validated_records(outcomes))
     except WRITE_ERRORS as error:
         accepted = keep_when(outcomes, F.col("status") == ACCEPTED, "records")
         letters = producer_dead_letters(accepted, F.lit(short_reason(error)), F.current_timestamp())
         write_producer_dead_letters(letters, dead_letter_root)
-        return {INGEST_ERRORS: 1}
-    return {INGEST_ERRORS: 0}
+        return _totals(outcomes, True)
+    return _totals(outcomes, False)

@@ -9,16 +9,17 @@ from hourtally.operators.lines import decode_lines
 from hourtally.schema import MESSAGE
 
 
-def kafka_messages(spark: SparkSession, servers: str, topic: str, flush_size: int = 512, **options: str) -> DataFrame:
-    """A Kafka topic; ``flush_size`` bounds a micro-batch. Needs Spark's Kafka connector.
+def kafka_messages(spark: SparkSession, servers: str, topic: str, flush_size: int | None = None, **options: str) -> DataFrame:
+    """A Kafka topic; ``flush_size``, if given, bounds a micro-batch. Needs Spark's Kafka connector.
 
     Spark tracks offsets itself, so committing is the checkpoint's work.
     """
+    if flush_size is not None:
+        options["maxOffsetsPerTrigger"] = str(flush_size)
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
-        .option("maxOffsetsPerTrigger", flush_size)
         .options(**options)
         .load()
         .select(F.col("value").cast("string").alias("value"), "partition", "offset")

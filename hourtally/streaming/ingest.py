@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hourtally.operators.dead_letters import consumer_dead_letters
-from hourtally.operators.ingest import keep_when
+from hourtally.operators.ingest import UNSTORABLE, is_storable, keep_when
 from hourtally.plans.ingest import WRITE_ERRORS, short_reason
 from hourtally.sinks.dead_letters import write_consumer_dead_letters
 from hourtally.sinks.hourly_logs import write_hourly
 from hourtally.sources.topic import decode_messages
 
-FLUSH_INTERVAL = "500 milliseconds"
+# A minute makes one file per hour and minute; a shorter delay makes more files.
+FLUSH_INTERVAL = "1 minute"
 
 
 def start_ingest(
@@ -33,17 +34,28 @@ def start_ingest(
     ``interval=None`` drains what is there and stops. The checkpoint moves on
     only after a batch is stored, so a crash stores a batch again rather than
     losing it. When the store itself fails, the batch goes to the dead letters
-    and the stream goes on; any other error stops the query. The progress of
+    and the stream goes on, as does a record whose time cannot be stored; any
+    other error, of the source or of decoding, stops the query. The progress of
     the query carries the observed counts.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded = keep_when(batch, F.col("line_state") == "ok", "record", "partition", "offset")
+        decoded = keep_when(batch, F.col("line_state") == "ok", "record", "partition", "offset").persist()
         try:
-            store(decoded.select("record.*"), logs_root)
-        except WRITE_ERRORS as error:
-            letters = consumer_dead_letters(decoded, F.lit(short_reason(error)))
-            write_consumer_dead_letters(letters, dead_letter_root)
+            # Reads the source and decodes, outside of what counts as a failure of the store.
+            storable = is_storable(F.col("record.timestamp"))
+            bad = decoded.where(~storable)
+            if not decoded.agg(F.coalesce(F.bool_and(storable), F.lit(True))).first()[0]:
+                reason = F.lit(UNSTORABLE)
+                write_consumer_dead_letters(consumer_dead_letters(bad, reason), dead_letter_root)
+            good = decoded.where(storable)
+            try:
+                store(good.select("record.*"), logs_root)
+            except WRITE_ERRORS as error:
+                letters = consumer_dead_letters(good, F.lit(short_reason(error)))
+                write_consumer_dead_letters(letters, dead_letter_root)
+        finally:
+            decoded.unpersist()
 
     state = F.col("line_state")
     observed = decode_messages(messages).observe(

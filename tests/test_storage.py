@@ -460,11 +460,16 @@ def test_publish_failure_becomes_dead_letters(spark, tmp_path):
         raise OSError("dial tcp: connection refused\nmore")
 
     published = []
-    assert publish_batches(batches(spark), lambda df: published.append(df.count()), str(tmp_path / "dlq")) == {
-        "ingest_errors_total": 0
+    totals = publish_batches(batches(spark), lambda df: published.append(df.count()), str(tmp_path / "dlq"))
+    assert totals == {
+        "log_batches_received_total": 2,
+        "invalid_requests_total": 1,
+        "logs_ingested_total": 3,
+        "ingest_errors_total": 0,
     }
     assert published == [3] and not (tmp_path / "dlq").exists()
-    assert publish_batches(batches(spark), broken, str(tmp_path / "dlq")) == {"ingest_errors_total": 1}
+    totals = publish_batches(batches(spark), broken, str(tmp_path / "dlq"))
+    assert totals["ingest_errors_total"] == 2 and totals["logs_ingested_total"] == 0
     letters = read_producer_dead_letters(spark, str(tmp_path / "dlq")).collect()
     assert sorted(len(r["records"]) for r in letters) == [1, 2]
     assert {r["reason"] for r in letters} == {"dial tcp: connection refused"}
@@ -478,6 +483,10 @@ def test_body_files(spark, tmp_path):
     put(folder, "two.csv", ["2025-11-15T14:30:00Z,/3,ua"])
     put(folder, "three.xml", ["<logs/>"])
     put(folder, "four.json", ["[" + line("/" + "x" * 500) + "]"])
+    put(folder, "day/empty.json", [])
+    put(folder, "empty.csv", [])
+    put(folder, "_hidden.json", ["[" + line("/4") + "]"])
+    put(folder, ".five.csv", ["x" * 500])
     frame = read_body_files(spark, str(folder), max_body_bytes=400)
     got = {Path(r["batch_id"]).name: r for r in batch_outcomes(frame, max_body_bytes=400).collect()}
     assert {name: r["status"] for name, r in got.items()} == {
@@ -485,15 +494,77 @@ def test_body_files(spark, tmp_path):
         "two.csv": 202,
         "three.xml": 415,
         "four.json": 413,
+        "empty.json": 400,
+        "empty.csv": 400,
+        "_hidden.json": 202,
+        ".five.csv": 413,
     }
     assert [r["path"] for r in got["one.json"]["records"]] == ["/1", "/2"]
-    # The same files as a stream, accepted records straight into the hourly logs.
+    # As a stream, which shows neither empty nor hidden files: large ones are rejected, accepted records straight into the hourly logs.
     query = (
         stream_body_files(spark, str(folder), max_body_bytes=400)
-        .writeStream.foreachBatch(lambda batch, _: store_batches(batch, str(tmp_path / "logs")) and None)
+        .writeStream.foreachBatch(
+            lambda batch, _: store_batches(batch, str(tmp_path / "logs"), str(tmp_path / "rejects")) and None
+        )
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     assert query.awaitTermination(120)
     assert sorted(r["path"] for rows in stored_lines(tmp_path / "logs").values() for r in rows) == ["/1", "/2", "/3"]
+    rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    # The stream's own limit is the default one, so the sizes decide here as the bodies would there.
+    assert {Path(r["batch_id"]).name: r["status"] for r in rejects}["three.xml"] == 415
+    assert "four.json" in {Path(r["batch_id"]).name for r in rejects}
+
+
+def test_no_log_file_vanishes(spark, tmp_path):
+    """Hidden names, empty shards, and folders whose names look like patterns."""
+    logs, out = tmp_path / "l[1]{a,b} *?%20", tmp_path / "out"
+    for name in ("pod", "_pod", ".pod", "t[1]", "{x}", "a b", "p%20q", "s*"):
+        put(logs, f"2025-11-15/14/{name}.log.json", [line(f"/{name}"), "bad"])
+    put(logs, "2025-11-15/15/only.log.json", [])
+    put(logs, "2025-11-15/16/_only.log.json", [])
+    put(logs, "2025-11-15/17/_temporary/0/x.log.json", [line("/unfinished")])
+    put(logs, "date=2025-11-15/hour=18/part-0.txt", [line("/written")])
+    put(logs, "date=2025-11-15/hour=18/.part-0.txt.crc", ["checksum"])
+    report = refresh(spark, str(logs), str(out))
+    assert report.refreshed_hours == 4 and report.malformed_lines == 8
+    found = summaries(spark, out)
+    names = {f"/{n}": 1 for n in ("pod", "_pod", ".pod", "t[1]", "{x}", "a b", "p%20q", "s*")}
+    assert found["2025-11-15T14:00:00Z"] == (names, {"ua1": 8})
+    assert found["2025-11-15T15:00:00Z"] == found["2025-11-15T16:00:00Z"] == ({}, {})
+    assert found["2025-11-15T18:00:00Z"][0] == {"/written": 1}
+    assert refresh(spark, str(logs), str(out)).refreshed_hours == 0
+
+
+def test_flat_files_and_shards_of_one_hour(spark, tmp_path):
+    logs = tmp_path / "logs"
+    for hour in range(6):
+        put(logs, f"2026-01-01/{hour:02}.log.json", [line("/flat")])
+        put(logs, f"2026-01-01/{hour:02}/pod.log.json", [line("/shard")])
+    for layout, want in (("flat", {"/flat": 1}), ("any", {"/flat": 1, "/shard": 1})):
+        for paths_per_scan in (1, 5, 2000):
+            out = tmp_path / f"{layout}{paths_per_scan}"
+            assert refresh(spark, str(logs), str(out), layout=layout, paths_per_scan=paths_per_scan).refreshed_hours == 6
+            assert [paths for paths, _ in summaries(spark, out).values()] == [want] * 6
+
+
+def test_many_days_are_listed(spark, tmp_path):
+    days = [f"{2020 + i // 300}-{1 + i // 28 % 10:02}-{1 + i % 28:02}" for i in range(900)]
+    for day in set(days):
+        put(tmp_path, f"{day}/03/x.log.json", [line()])
+    assert list_log_objects(spark, str(tmp_path)).count() == len(set(days))
+    assert list_log_objects(spark, str(tmp_path), sorted(set(days))[:40]).count() == 40
+
+
+def test_years_that_no_folder_can_hold(spark, tmp_path):
+    rows = [
+        (str(i), "application/json", "[%s]" % line("/y", ts=ts))
+        for i, ts in enumerate(("9999-12-31T23:59:59-01:00", "0000-01-01T00:30:00+01:00", "9999-12-31T23:59:59Z", "0000-01-01T00:30:00Z"))
+    ]
+    totals = store_batches(spark.createDataFrame(rows, RAW_BATCH), str(tmp_path / "logs"), str(tmp_path / "rejects"))
+    assert totals["ingest_errors_total"] == 2 and totals["log_batches_received_total"] == 2
+    assert set(stored_lines(tmp_path / "logs")) == {"date=9999-12-31/hour=23", "date=0000-01-01/hour=00"}
+    rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert {(r["batch_id"], r["status"]) for r in rejects} == {("0", 500), ("1", 500)}
