@@ -28,8 +28,10 @@ and reads back as null. Other columns than ``doc_id`` and ``text`` are not store
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -157,77 +159,67 @@ def decode_block(data: bytes, tables: Tables) -> tuple[np.ndarray, np.ndarray, n
     return docs, lengths, out.reshape(-1)[:n_ids]
 
 
-class TokenEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece between spaces once.
+# The words of the tokenizer's pattern in lower-cased text whose bytes above 127 are all of letters.
+_PLAIN_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+_ASCII = bytes(range(128))
+
+
+class TokenEncoder(dict):
+    """Encodes texts with the tokenizers library, each distinct word once: word to packed ids.
 
     White space separates words for this tokenizer and never belongs to one, and
-    its normalisation does not reach over white space, so pieces encode alike
-    alone and in their text. Pieces of letters alone go straight to the model.
-    What is remembered is bounded and serves speed alone.
+    its normalisation does not reach over white space, so what stands between
+    white space encodes alike alone and in its text. Texts whose characters
+    beyond ASCII are letters in normal form are cut into the pattern's words,
+    others at white space. Words of letters and marks go straight to the model,
+    all else through the whole tokenizer. What is remembered is bounded and
+    serves speed alone.
     """
 
-    def __init__(self, spec: str, end_id: int, most: int = 600_000):
+    def __init__(self, spec: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_of_letter().items()}
-        self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if id_type(self.tokenizer.get_vocab_size()).itemsize == 2 else "I"
         self.end = self.packed([end_id])
-        self.marks = {c: self.packed([t.id for t in self.model.tokenize(c)]) for c in ".,;:?!|"}
-        self.most, self.known, self.words = most, {}, {}
+        self.most = most
 
     def packed(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def word(self, lower: str) -> bytes | None:
-        """The ids of a lower-cased word of letters, which the pattern keeps whole."""
-        if not lower.isalpha():  # a few letters become a letter and a mark
-            return None
-        spelled = lower if lower.isascii() else "".join([self.letters[b] for b in lower.encode()])
-        return self.packed([t.id for t in self.model.tokenize(spelled)])
-
-    def learn(self, pieces: set[bytes]) -> None:
-        for cache in (self.known, self.words):
-            if len(cache) > self.most:
-                cache.clear()
-        odd, words, known, marks = [], self.words, self.known, self.marks
-        for key in pieces.difference(known):
-            piece = key.decode()
-            tail = b""
-            if not piece.isalpha():
-                tail = marks.get(piece[-1])
-                piece = piece[:-1]
-                if tail is None or not piece.isalpha():
-                    odd.append(key)
-                    continue
-            # The library lower-cases letter by letter, so a sigma does not look at its neighbours.
-            if not piece.isascii() and ("Σ" in piece or not unicodedata.is_normalized("NFC", piece)):
-                odd.append(key)
-                continue
-            lower = piece.lower()
-            ids = words.get(lower)
-            if ids is None:
-                ids = self.word(lower)
-                if ids is None:
-                    odd.append(key)
-                    continue
-                words[lower] = ids
-            known[key] = ids + tail
-        for i in range(0, len(odd), 4096):
-            part = odd[i : i + 4096]
-            encoded = self.tokenizer.encode_batch_fast([key.decode() for key in part], add_special_tokens=False)
-            known.update((key, self.packed(e.ids)) for key, e in zip(part, encoded))
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        text = word.decode()
+        # The library lower-cases letter by letter, so a sigma does not look at its neighbours.
+        lower = text.lower() if "Σ" not in text else ""
+        if text.isascii() and text.isalpha():
+            ids = [t.id for t in self.model.tokenize(lower)]
+        elif text.isalpha() and lower.isalpha() and unicodedata.is_normalized("NFC", text):
+            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in lower.encode()]))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        packed = self[word] = self.packed(ids)
+        return packed
+
+    def words(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # perhaps a special token, which lower case could make or hide
+            return text.split()
+        lower = text.lower()
+        beyond = lower.translate(None, _ASCII).decode()
+        if beyond and not (beyond.isalpha() and unicodedata.is_normalized("NFC", beyond)):
+            return lower.split()
+        return _PLAIN_WORDS.findall(lower)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of every text as ``dtype`` integers, the end id after them."""
-        # A-Z is lower-cased at once, except where a special token could come to be.
-        split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
-        self.learn(set().union(*split))
-        find = self.known.__getitem__
-        return [b"".join(map(find, pieces)) + self.end for pieces in split]
+        """The packed ids of every text, the end id after them."""
+        find = self.__getitem__
+        return [b"".join(map(find, self.words(text))) + self.end for text in texts]
 
 
 def id_type(n: int) -> np.dtype:
