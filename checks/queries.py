@@ -331,6 +331,7 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.raw_batches(spark, sf_dir, "mixed").withColumn("batch_id", F.col("batch_id").cast("string")),
         lambda records: write_hourly(records, f"{folder}/logs"),
         f"{folder}/dead",
+        inputs.BODY_LIMIT,
     )
     refresh(spark, f"{folder}/logs", f"{folder}/analytics")
     runs = counters.run_counters(spark.read.json(runs_path(f"{folder}/analytics")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourtally.functions.timestamps import date_token, hour_token
 from hourtally.schema import HOURLY_COUNT
+from hourtally.sources.listing import literal_path
 
 
 def _by_hour(df: DataFrame, *columns: str) -> DataFrame:
@@ -34,7 +35,7 @@ def write_counts(counts: DataFrame, root: str) -> None:
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:
     """Stored counts with ``hour`` as a timestamp; ``date`` and ``hour_token`` prune folders."""
-    stored = spark.read.schema("dim STRING, key STRING, requests BIGINT, date STRING, hour STRING").parquet(root)
+    stored = spark.read.schema("dim STRING, key STRING, requests BIGINT, date STRING, hour STRING").parquet(literal_path(root))
     return stored.select(
         F.to_timestamp(F.concat_ws(" ", "date", "hour"), "yyyy-MM-dd HH").alias("hour"),
         *[c for c in HOURLY_COUNT.names if c != "hour"],
@@ -50,4 +51,4 @@ def write_documents(documents: DataFrame, root: str) -> None:
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("value STRING, date STRING, hour STRING").option("lineSep", "\n").text(root)
+    return spark.read.schema("value STRING, date STRING, hour STRING").option("lineSep", "\n").text(literal_path(root))
