@@ -11,8 +11,8 @@ tokens and the shares of a node add up to it exactly.
 A leaf's budget pays for whole epochs over its documents and for the beginning of
 one more: documents in the order of a seeded hash of epoch and id, as long as
 their tokens fit. The end of that prefix is found per leaf: hash buckets are added
-up, and documents are ordered only within the bucket where the budget ends. A
-document is then chosen by its own hash, so no text moves.
+up, twice over, and documents are ordered only within the last bucket that the
+budget reaches. A document is then chosen by its own hash, so no text moves.
 
 Defined results: a null text has no tokens; null names are the empty name. Rows
 repeated with one ``doc_id`` are chosen or left out together. A null ``doc_id`` is
@@ -31,7 +31,9 @@ from hourtally.llm.common import WORD_PATTERN, read_table
 from hourtally.session import materialize
 
 TREE = ("domain", "lang", "source")
-BUCKET_DIGITS = 3  # of the hash: 16 ** 3 buckets per leaf
+# Digits of the hash that a leaf's documents are added up by: first into 16 ** 3 buckets, and
+# then those of the bucket where its budget ends into as many.
+BUCKET_DIGITS = (3, 6)
 SEED = "mix-1"
 
 
@@ -141,16 +143,19 @@ def leaf_plan(tree_rows: DataFrame, mixture: Mixture) -> DataFrame:
     budgets = leaf_budgets(leaves, mixture).withColumn("full", full.cast("long"))
     budgets = materialize(budgets.withColumn("rest", F.col("budget") - F.col("full") * F.col("supply")))
     placed = tree_rows.join(budgets.select(*names, "full", "rest"), names).withColumn("place", place(F.col("full"), mixture))
-    bucket = F.substring("place", 1, BUCKET_DIGITS)
-    ordered = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        placed.groupBy(*names, "rest", bucket.alias("bucket"))
-        .agg(F.sum("n_tokens").alias("tokens"))
-        .withColumn("before", F.coalesce(F.sum("tokens").over(ordered), F.lit(0)))
-        .where("before <= rest AND before + tokens > rest")
-        .select(*names, "bucket", "before")
-    )
-    inside = placed.join(ends, names).where(bucket == F.col("bucket"))
+    ends = budgets.select(*names, "rest", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
+    for digits in BUCKET_DIGITS:
+        inside = placed.join(ends.drop("rest"), names).where(F.col("place").startswith(F.col("bucket")))
+        finer = F.substring("place", 1, digits).alias("finer")
+        ordered = Window.partitionBy(*names).orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)
+        ends = materialize(
+            inside.groupBy(*names, "rest", "before", finer)
+            .agg(F.sum("n_tokens").alias("tokens"))
+            .withColumn("before", F.col("before") + F.coalesce(F.sum("tokens").over(ordered), F.lit(0)))
+            .where("before <= rest AND before + tokens > rest")
+            .select(*names, "rest", F.col("finer").alias("bucket"), "before")
+        )
+    inside = placed.join(ends.drop("rest"), names).where(F.col("place").startswith(F.col("bucket")))
     same = inside.groupBy(*names, "rest", "bucket", "before", "place").agg(F.sum("n_tokens").alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy(*names).orderBy("place"))
     lasts = (
