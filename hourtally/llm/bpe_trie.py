@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,10 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, bpe.special))) if bpe.special else None
         self.pairs = Memo(lambda key: bpe.goes_with((key >> 20, key & 0xFFFFF)), 500_000)
         self.nodes = Memo(bpe.after, 300_000)
-        self.bytes_of = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
+        tokens = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
+        self.table = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         # Words and pieces are kept until there are more than this many.
         self.most = 400_000
         self.words: dict = {}
@@ -228,32 +232,41 @@ class Encoder:
         return [(first, False), *rest] if first else rest
 
     def learn(self, keys: set) -> None:
-        """Adds ``ids, ids with commas`` of every key to the known pieces."""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
+        """Adds the packed ids, and the ids with commas, of new pieces."""
         if len(self.words) > self.most:
             self.words.clear()
+        words, pieces, findall = self.words, self.pieces, self.pattern.findall
         cuts = {}
-        for key in keys.difference(self.pieces):
-            if isinstance(key, tuple):
-                cuts[key] = self.pattern.findall(key[0]) if key[1] is not None else [key]
+        for key in keys:
+            if type(key) is str:
+                key_words = (" " + key,) if key.isalpha() else findall(" " + key)
+            elif key[1] is None:
+                pieces[key] = self.packed((self.bpe.special[key[0]],))
+                continue
+            else:
+                key_words = findall(key[0])
+            cuts[key] = key_words
+        missing = {word: word.encode() for word in chain.from_iterable(cuts.values()) if word not in words}
+        encoded = self.bpe.encode_words(list(missing.values()), self.pairs, self.nodes)
+        for word, raw in missing.items():
+            words[word] = self.packed(encoded[raw])
+        for key, key_words in cuts.items():
+            if len(key_words) == 1:
+                pieces[key] = words[key_words[0]]
             else:
-                cuts[key] = [" " + key] if key.isalpha() else self.pattern.findall(" " + key)
-        missing = set(chain.from_iterable(cuts.values())).difference(self.words)
-        specials = {w for w in missing if isinstance(w, tuple)}
-        self.words.update((w, (self.bpe.special[w[0]],)) for w in specials)
-        plain = {w: w.encode() for w in missing - specials}
-        encoded = self.bpe.encode_words(list(plain.values()), self.pairs, self.nodes)
-        self.words.update((w, encoded[b]) for w, b in plain.items())
-        words = self.words
-        for key, parts in cuts.items():
-            ids = words[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([words[w] for w in parts]))
-            self.pieces[key] = np.array(ids, np.int32).tobytes(), ",".join(map(str, ids))
+                parts = [words[word] for word in key_words]
+                pieces[key] = b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts])
+
+    @staticmethod
+    def packed(ids) -> tuple[bytes, str]:
+        return array("i", ids).tobytes(), ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """The ids of each text, and the same ids written with commas."""
         cuts = [self.cut(text) for text in texts]
-        self.learn(set(chain.from_iterable(cuts)))
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        self.learn(set(filterfalse(self.pieces.__contains__, chain.from_iterable(cuts))))
         out, find = [], self.pieces.__getitem__
         for cut in cuts:
             parts = list(map(find, cut))
@@ -262,8 +275,12 @@ class Encoder:
         return out
 
     def decode(self, ids) -> str:
-        ids = np.asarray(ids, np.int32).tolist()
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        """The bytes of all tokens one after the other, gathered from one table."""
+        ids = np.asarray(ids, np.int32)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.table[places].tobytes().decode("utf-8", "replace")
 
 
 def encoder_of(shared) -> Encoder:
