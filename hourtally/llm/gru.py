@@ -76,12 +76,26 @@ def _by_class(targets: np.ndarray):
         yield int(of[order[start]]), order[start:stop]
 
 
-def log_probabilities(hs: np.ndarray, targets: np.ndarray, params: dict[str, np.ndarray]) -> np.ndarray:
+def _bounded(params: dict[str, np.ndarray]) -> bool:
+    """Whether no output can overflow ``exp``: states lie within -1 and 1."""
+    top = np.abs(params["wc"]).sum(axis=0) + np.abs(params["bc"])
+    inner = np.abs(params["ww"]).sum(axis=1) + np.abs(params["bw"])
+    return float(top.max()) < 80 and float(inner.max()) < 80
+
+
+def log_probabilities(hs: np.ndarray, targets: np.ndarray, params: dict[str, np.ndarray], bounded: bool = False) -> np.ndarray:
     """Natural logarithms of the probabilities of the targets after the states ``hs``."""
-    out = _log_softmax(hs @ params["wc"] + params["bc"])[np.arange(len(targets)), targets // MEMBERS]
+
+    def picked(x, at):
+        rows = np.arange(len(at))
+        if not bounded:
+            return _log_softmax(x)[rows, at]
+        own = x[rows, at]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+    out = picked(hs @ params["wc"] + params["bc"], targets // MEMBERS)
     for c, rows in _by_class(targets):
-        inner = _log_softmax(hs[rows] @ params["ww"][c] + params["bw"][c])
-        out[rows] += inner[np.arange(len(rows)), targets[rows] % MEMBERS]
+        out[rows] += picked(hs[rows] @ params["ww"][c] + params["bw"][c], targets[rows] % MEMBERS)
     return out
 
 
@@ -97,6 +111,7 @@ def score_documents(documents: list[np.ndarray], params: dict[str, np.ndarray],
     every = np.concatenate(documents) if documents else np.empty(0, np.int64)
     first, left = (ends - lengths)[order], lengths[order]
     table = params["emb"] @ params["wx"] + params["b"]
+    bounded = _bounded(params)
     totals = np.zeros(len(documents))
     h = np.zeros((len(documents), HIDDEN), np.float32)
     before = np.full(len(documents), start)
@@ -110,7 +125,7 @@ def score_documents(documents: list[np.ndarray], params: dict[str, np.ndarray],
             hs.append(h)
             targets.append(before)
             owners.append(order[:live])
-        logs = log_probabilities(np.concatenate(hs), np.concatenate(targets), params)
+        logs = log_probabilities(np.concatenate(hs), np.concatenate(targets), params, bounded)
         totals += np.bincount(np.concatenate(owners), logs, len(documents))
     return totals
 

@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 5, 1
 VOCABULARY = 4096
 END, UNKNOWN = 0, 1
 MAX_BROADCAST_WORDS = 1 << 18  # counts kept beside the vocabulary, some 10 MB
-TRAINING_SHARE = 1 / 16
+TRAINING_SHARE = 1 / 32
 LEAST_TRAINING_TOKENS = 1_000_000  # a larger share where the table is small
 SHARD_TOKENS = 400_000
 MAX_SHARDS = 4096
@@ -134,13 +134,13 @@ def training_ids(docs: DataFrame, shared, share: float) -> DataFrame:
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """The weighted sum of the parameters of each partition: ``tokens, params``."""
+    """The sum of the weighted parameters of each partition: ``tokens, params``."""
 
     def run(batches):
         total, tokens = None, 0
         for batch in batches:
             for n, data in zip(batch.column("tokens").to_pylist(), batch.column("params")):
-                flat = np.frombuffer(data.as_buffer(), np.float64)
+                flat = np.frombuffer(data.as_buffer(), np.float32)
                 total, tokens = (flat if total is None else total + flat), tokens + n
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "params"])
@@ -167,14 +167,14 @@ def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str,
             if documents:
                 after, _ = gru.train(documents, start.value, END)
                 n = sum(map(len, documents))
-                flat = gru.packed(after).astype(np.float64) * n
+                flat = gru.packed(after) * np.float32(n / tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "params"])
 
-        trained = sample.repartition(shards, F.xxhash64("doc_id")).select("ids").mapInArrow(run, "tokens long, params binary")
+        trained = sample.select("ids").repartition(shards).mapInArrow(run, "tokens long, params binary")
         rows = merged(trained.repartition(max(1, isqrt(shards)))).collect()
         n = sum(row["tokens"] for row in rows)
         if n:
-            params = gru.unpacked(sum(np.frombuffer(row["params"], np.float64) for row in rows) / n, params)
+            params = gru.unpacked(sum(np.frombuffer(row["params"], np.float32) for row in rows) * (tokens / n), params)
     return params
 
 
@@ -218,7 +218,7 @@ def partial_scores(docs: DataFrame, counts: Counts, params: dict[str, np.ndarray
         )
 
     schema = "doc_id long, n_tokens long, n_known long, base double, model double, rare array<string>"
-    return map_batches(docs.select("doc_id", "text"), schema, work, most=4_000_000)
+    return map_batches(docs.select("doc_id", "text"), schema, work, most=12_000_000)
 
 
 def scored(docs: DataFrame, vocabulary: int = VOCABULARY, kept: int = MAX_BROADCAST_WORDS) -> DataFrame:
