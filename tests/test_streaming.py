@@ -234,3 +234,32 @@ def test_topic_round_trip(spark, tmp_path):
         )
     )
     assert refresh(spark, str(tmp_path / "logs"), str(tmp_path / "out")).refreshed_hours == 2
+
+
+def test_source_failure_is_no_store_failure(spark, tmp_path):
+    topic, logs, dlq, checkpoint = (tmp_path / n for n in ("topic", "logs", "dlq", "checkpoint"))
+    publish(topic, "1.json", line("/home"))
+    broken = file_messages(spark, str(topic)).withColumn("value", F.coalesce(F.raise_error(F.lit("source lost")).cast("string"), "value"))
+    query = start_ingest(broken, str(logs), str(dlq), str(checkpoint), None)
+    with pytest.raises(Exception, match="source lost"):
+        query.awaitTermination(WAIT)
+    assert not dlq.exists() and not logs.exists()
+
+
+def test_unstorable_time_becomes_a_dead_letter(spark, tmp_path):
+    topic, logs, dlq, checkpoint = (tmp_path / n for n in ("topic", "logs", "dlq", "checkpoint"))
+    publish(topic, "1.json", line("/late", ts="9999-12-31T23:59:59-01:00"), line("/home"))
+    drain(start_ingest(file_messages(spark, str(topic)), str(logs), str(dlq), str(checkpoint), None))
+    assert paths_of(logs) == ["/home"]
+    letters = read_consumer_dead_letters(spark, str(dlq)).select("record.path", "offset", "reason").collect()
+    assert [tuple(r) for r in letters] == [("/late", 0, "timestamp outside of the years 0 to 9999")]
+
+
+def test_writers_share_a_session(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: write_hourly(records(spark), str(tmp_path / f"logs{i}")), range(6)))
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
+    assert sum(len(rows) for rows in stored_lines(tmp_path / "logs5").values()) == 3
