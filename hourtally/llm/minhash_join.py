@@ -146,17 +146,23 @@ def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = needed(F.col("s_n"), F.col("l_n"))
 
     def met(small, large):
-        return small.join(large, keys).where(
+        columns = ["s_rep", "l_rep", "s_n", "l_n", "s_at", "l_at"]
+        return small.join(large, keys).select("s_label", "l_label", *columns).where(
             (F.col("s_label") != F.col("l_label"))
             & (F.col("s_n") <= F.col("l_n"))
             & (100 * F.col("s_n") >= percent * F.col("l_n"))
             & (F.col("s_at") <= F.col("s_n") - least + 1)
             & (F.col("l_at") <= F.col("l_n") - least + 1)
-        )
+        ).select(*columns)
 
-    found = met(small.where("s_out"), large).select("s_rep", "l_rep")
-    found = found.union(met(small.where("not s_out"), large.where("l_out")).select("s_rep", "l_rep"))
-    return ordered_pairs(found, "s_rep", "l_rep")
+    found = met(small.where("s_out"), large).union(met(small.where("not s_out"), large.where("l_out")))
+    # What a pair shares of its rarest shingles is counted; behind the last of them it can share no
+    # more than what is left of either set.
+    counted = found.groupBy("s_rep", "l_rep", "s_n", "l_n").agg(
+        F.count(F.lit(1)).alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at")
+    )
+    most = F.col("met") + F.least(F.col("s_n") - F.col("s_at"), F.col("l_n") - F.col("l_at"))
+    return ordered_pairs(counted.where(most >= least), "s_rep", "l_rep")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
