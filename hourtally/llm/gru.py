@@ -130,6 +130,57 @@ def score_documents(documents: list[np.ndarray], params: dict[str, np.ndarray],
     return totals
 
 
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parameters that lie one after the other in ``flat``."""
+    out, at = {}, 0
+    for name in NAMES:
+        out[name] = flat[at : at + like[name].size].reshape(like[name].shape)
+        at += like[name].size
+    return out
+
+
+def _zeros(like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return _views(np.zeros(sum(like[name].size for name in NAMES), like["emb"].dtype), like)
+
+
+def _softmax_loss(x: np.ndarray, at: np.ndarray, weight: np.ndarray, scale) -> tuple[float, np.ndarray]:
+    """The weighted loss of outputs ``x`` for the targets, and its scaled gradient, written over ``x``."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    loss = float(((np.log(sums) - own) * weight).sum())
+    x *= (weight * scale / sums)[:, None]
+    x[rows, at] -= weight * scale
+    return loss, x
+
+
+def _adam(flat: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, turn: int, rate: float, piece: int = 1 << 14) -> None:
+    """A step along the gradient ``g``, whose norm is at most 1; in place, in pieces that stay in cache."""
+    shrink = np.float32(min(1.0, 1.0 / max(float(np.sqrt(np.dot(g, g))), 1e-9)))
+    pace, level = np.float32(rate / (1 - 0.9**turn)), np.float32((1 - 0.99**turn) ** -0.5)
+    spare = np.empty(piece, np.float32)
+    for at in range(0, len(flat), piece):
+        part = slice(at, at + piece)
+        grad, m, v = g[part], first[part], second[part]
+        t = spare[: len(grad)]
+        grad *= shrink
+        np.subtract(grad, m, out=t)
+        t *= np.float32(0.1)
+        m += t
+        np.multiply(grad, grad, out=t)
+        t -= v
+        t *= np.float32(0.01)
+        v += t
+        np.sqrt(v, out=t)
+        t *= level
+        t += np.float32(1e-6)
+        np.divide(m, t, out=t)
+        t *= pace
+        flat[part] -= t
+
+
 def gradients(params, inputs, targets, resets, live, h):
     """Loss, gradients and last state of a window; arrays are steps x lanes."""
     steps, lanes = inputs.shape
@@ -146,42 +197,52 @@ def gradients(params, inputs, targets, resets, live, h):
     weight = live.reshape(-1).astype(np.float32)
     flat = targets.reshape(-1)
     scale = np.float32(1.0 / max(1.0, float(weight.sum())))
-    grads = {name: np.zeros_like(params[name]) for name in NAMES}
-    top = _log_softmax(hs @ params["wc"] + params["bc"])
-    rows = np.arange(len(flat))
-    loss = -float((top[rows, flat // MEMBERS] * weight).sum())
-    d = np.exp(top)
-    d[rows, flat // MEMBERS] -= 1
-    d *= (weight * scale)[:, None]
-    grads["wc"], grads["bc"] = hs.T @ d, d.sum(axis=0)
+    grads = _zeros(params)
+    top, d = _softmax_loss(hs @ params["wc"] + params["bc"], flat // MEMBERS, weight, scale)
+    np.matmul(hs.T, d, out=grads["wc"])
+    np.sum(d, axis=0, out=grads["bc"])
     dhs = d @ params["wc"].T
-    for c, own in _by_class(flat):
-        inner = _log_softmax(hs[own] @ params["ww"][c] + params["bw"][c])
-        mine, member = np.arange(len(own)), flat[own] % MEMBERS
-        loss -= float((inner[mine, member] * weight[own]).sum())
-        d = np.exp(inner)
-        d[mine, member] -= 1
-        d *= (weight[own] * scale)[:, None]
-        grads["ww"][c], grads["bw"][c] = hs[own].T @ d, d.sum(axis=0)
-        dhs[own] += d @ params["ww"][c].T
+    order = np.argsort(flat // MEMBERS, kind="stable")
+    starts = np.flatnonzero(np.diff(flat[order] // MEMBERS, prepend=-1))
+    groups = [(int(flat[order[i]]) // MEMBERS, slice(i, j)) for i, j in zip(starts, [*starts[1:], len(order)])]
+    sorted_hs = hs[order]
+    d = np.empty((len(flat), MEMBERS), hs.dtype)
+    for c, own in groups:
+        np.matmul(sorted_hs[own], params["ww"][c], out=d[own])
+        d[own] += params["bw"][c]
+    inner, d = _softmax_loss(d, flat[order] % MEMBERS, weight[order], scale)
+    loss = top + inner
+    back = np.empty_like(hs)
+    for c, own in groups:
+        np.matmul(sorted_hs[own].T, d[own], out=grads["ww"][c])
+        np.sum(d[own], axis=0, out=grads["bw"][c])
+        np.matmul(d[own], params["ww"][c].T, out=back[own])
+    dhs[order] += back
     dhs = dhs.reshape(steps, lanes, HIDDEN)
-    dh = np.zeros((lanes, HIDDEN), np.float32)
-    dgates = np.empty_like(gates)
+    before, z, r, n, hn = (np.stack(each) for each in zip(*kept))
+    of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), hn * r * (1 - r)
+    dh = np.zeros((lanes, HIDDEN), hs.dtype)
+    dgates, inner = np.empty_like(gates), np.empty_like(gates)
+    back = np.ascontiguousarray(params["wh"].T)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, hn = kept[t]
-        dh = dh + dhs[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        inner = np.concatenate([dz, dr, dn * r], axis=1)
-        dgates[t] = np.concatenate([dz, dr, dn], axis=1)
-        grads["wh"] += before.T @ inner
-        dh = dh * z + inner @ params["wh"].T
+        dh += dhs[t]
+        dn = dh * of_n[t]
+        np.multiply(dh, of_z[t], out=inner[t, :, :HIDDEN])
+        np.multiply(dn, of_r[t], out=inner[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=inner[t, :, 2 * HIDDEN :])
+        dgates[t, :, 2 * HIDDEN :] = dn
+        dh *= z[t]
+        dh += inner[t] @ back
         dh[resets[t]] = 0
+    dgates[:, :, : 2 * HIDDEN] = inner[:, :, : 2 * HIDDEN]
+    np.matmul(before.reshape(-1, HIDDEN).T, inner.reshape(-1, 3 * HIDDEN), out=grads["wh"])
     flat_gates = dgates.reshape(-1, 3 * HIDDEN)
-    grads["wx"] = x.reshape(-1, HIDDEN).T @ flat_gates
-    grads["b"] = flat_gates.sum(axis=0)
-    np.add.at(grads["emb"], inputs.reshape(-1), flat_gates @ params["wx"].T)
+    np.matmul(x.reshape(-1, HIDDEN).T, flat_gates, out=grads["wx"])
+    np.sum(flat_gates, axis=0, out=grads["b"])
+    read = inputs.reshape(-1)
+    order = np.argsort(read, kind="stable")
+    starts = np.flatnonzero(np.diff(read[order], prepend=-1))
+    grads["emb"][read[order[starts]]] = np.add.reduceat((flat_gates @ params["wx"].T)[order], starts, axis=0)
     return loss, grads, h
 
 
@@ -209,21 +270,14 @@ def train(documents: list[np.ndarray], params: dict[str, np.ndarray], start: int
             resets[at, lane] = True
             live[at : at + len(document), lane] = True
             at += len(document)
-    params = {name: value.copy() for name, value in params.items()}
-    first = {name: np.zeros_like(value) for name, value in params.items()}
-    second = {name: np.zeros_like(value) for name, value in params.items()}
+    flat = packed(params)
+    params = _views(flat, params)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     h, total, turn = np.zeros((lanes, HIDDEN), np.float32), 0.0, 0
     for at in range(0, length, WINDOW):
         part = slice(at, at + WINDOW)
         loss, grads, h = gradients(params, inputs[part], targets[part], resets[part], live[part], h)
         total += loss
         turn += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-        shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        for name, g in grads.items():
-            g *= shrink
-            first[name] += np.float32(0.1) * (g - first[name])
-            second[name] += np.float32(0.01) * (g * g - second[name])
-            step = (first[name] / (1 - 0.9**turn)) / (np.sqrt(second[name] / (1 - 0.99**turn)) + 1e-6)
-            params[name] -= np.float32(rate) * step
+        _adam(flat, packed(grads), first, second, turn, rate)
     return params, total / max(1, int(live.sum()))

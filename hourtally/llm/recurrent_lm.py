@@ -2,11 +2,10 @@
 
 All training documents are counted: the counts give the base score, the model's
 vocabulary (the most frequent words, an end and an unknown token) and what an
-unknown word costs. The network is trained by truncated backpropagation on a
-fixed share of the training documents, drawn by a hash of their ids, so the sample
-grows with the table: shards are trained in parallel from common parameters, whose
-average, weighted by tokens, starts the next round. Every document is then read
-whole, with its state carried from window to window.
+unknown word costs. The network is trained by truncated backpropagation on all
+training documents, at every size of the table: shards are trained in parallel from
+common parameters, whose average, weighted by tokens, starts the next round. Every
+document is then read whole, with its state carried from window to window.
 
 A word outside the vocabulary has the probability of the unknown token times its
 own add-half share among all words outside, so probabilities of all words, one
@@ -38,8 +37,6 @@ FOLDS, HELD_OUT = 5, 1
 VOCABULARY = 4096
 END, UNKNOWN = 0, 1
 MAX_BROADCAST_WORDS = 1 << 18  # counts kept beside the vocabulary, some 10 MB
-TRAINING_SHARE = 1 / 16
-LEAST_TRAINING_TOKENS = 1_000_000  # a larger share where the table is small
 SHARD_TOKENS = 400_000
 MAX_SHARDS = 4096
 ROUNDS = 2
@@ -121,16 +118,15 @@ def model_ids(text: bytes, numbers: dict[bytes, int], size: int) -> np.ndarray:
     return np.append(np.where(ranks < size, ranks + 2, UNKNOWN), END)
 
 
-def training_ids(docs: DataFrame, shared, share: float) -> DataFrame:
-    """``ids``: token numbers, two bytes each, of the documents drawn."""
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30)))
+def training_ids(docs: DataFrame, shared) -> DataFrame:
+    """``ids``: token numbers, two bytes each, of every document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = shared.value
         ids = [model_ids(t, counts.numbers(), counts.size).astype("<u2").tobytes() for t in utf8_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return map_batches(drawn.select("doc_id", "text"), "doc_id long, ids binary", work)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, ids binary", work)
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -155,9 +151,8 @@ def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str,
     if not counts.ends:
         return params
     shared = spark.sparkContext.broadcast(counts)
-    share = min(1.0, max(TRAINING_SHARE, LEAST_TRAINING_TOKENS / counts.tokens))
-    sample = materialize(training_ids(training, shared, share))
-    tokens = (sample.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2
+    read = materialize(training_ids(training, shared))
+    tokens = (read.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2
     shards = int(min(MAX_SHARDS, max(1, tokens // SHARD_TOKENS)))
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(params)
@@ -170,7 +165,7 @@ def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str,
                 flat = gru.packed(after) * np.float32(n / tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "params"])
 
-        trained = sample.select("ids").repartition(shards).mapInArrow(run, "tokens long, params binary")
+        trained = read.select("ids").repartition(shards).mapInArrow(run, "tokens long, params binary")
         rows = merged(trained.repartition(max(1, isqrt(shards)))).collect()
         n = sum(row["tokens"] for row in rows)
         if n:

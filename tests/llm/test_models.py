@@ -219,6 +219,19 @@ def test_language_model_query(spark, sf_dir, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    """No share of a larger table: what is kept for training holds all documents and all their tokens."""
+    docs = spark.range(120).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 20000) text")
+    kept = []
+    write = recurrent_lm.materialize
+    monkeypatch.setattr(recurrent_lm, "materialize", lambda df: kept.append(write(df)) or kept[-1])
+    counts = recurrent_lm.gather(write(recurrent_lm.word_counts(docs)), 120, 512, 600)
+    recurrent_lm.fit(docs, counts, rounds=0)
+    sizes = {r["doc_id"]: len(r["ids"]) // 2 for r in kept[0].collect()}
+    assert sizes == dict.fromkeys(range(120), 20001)
+    assert sum(sizes.values()) == counts.tokens
+
+
 def test_language_model_of_odd_rows(odd_docs, no_docs):
     rows = recurrent_lm.scored(odd_docs).collect()
     assert len(rows) == odd_docs.count()
