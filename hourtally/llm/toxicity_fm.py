@@ -3,8 +3,10 @@
 The score of a text is a bias, a weight per term and the inner products of the
 factor vectors of its terms, so that two terms together can say more than the
 sum of both. Terms are lower-cased words without punctuation around them, hashed
-to 24 bits; a term counts once per text. Only terms of several training texts
-that are labelled otherwise than by chance have parameters, all others say nothing.
+to 24 bits; a term counts once per text. Every term of several training texts has
+parameters, whatever its own labels say: a term can matter beside another one alone.
+A penalty keeps terms near zero whose labels are as expected. Where there are
+too many terms, the rarest share rows by their hash.
 
 The model is fitted on the driver to a bounded sample of labelled texts; scoring
 is one pass over the table without a shuffle.
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from hourtally.llm.common import Memo, fold, hash64, list_array, map_batches, read_table, utf8_of
 
 MAX_TRAINING_ROWS = 20_000  # labelled texts in expectation, drawn by a hash of their ids
-MAX_TERMS = 1 << 17
+MAX_TERMS = 1 << 17  # rows of parameters
+SHARED_ROWS = 1 << 14  # of these, for the rarest terms where there are more
 LEAST_TEXTS = 4  # training texts a term needs to get parameters
-LEAST_SURPRISE = 4.0  # standard deviations between a term's toxic texts and those expected
+PENALTY = 50.0  # of half the square of a parameter against the sum of the losses; less the more surprising the labels
 FACTORS = 8
 EPOCHS = 40
 TERM_BITS = 24
@@ -48,9 +51,10 @@ def term_id(word: bytes) -> int:
 
 @dataclass
 class Machine:
-    """Parameters of the terms ``ids`` (ascending); at most ``MAX_TERMS`` rows."""
+    """Parameters of the terms ``ids`` (ascending), whose rows are ``places``; at most ``MAX_TERMS`` rows."""
 
     ids: np.ndarray
+    places: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -142,43 +146,47 @@ def train(terms: np.ndarray, lengths: np.ndarray, y: np.ndarray, factors: int, e
     random = np.random.default_rng(seed)
     positive = int((y > 0).sum())
     prior = (positive + 0.5) / (len(y) + 1.0)
-    ids, place, texts = np.unique(terms, return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, np.repeat(y > 0, lengths), len(ids))
-    surprise = np.abs(toxic - texts * prior) / np.sqrt(np.maximum(texts * prior * (1 - prior), 1e-9))
-    keep = (texts >= LEAST_TEXTS) & (surprise >= LEAST_SURPRISE)
-    if keep.sum() > MAX_TERMS:
-        keep &= texts >= np.sort(texts)[-MAX_TERMS]
-    ids = ids[keep][:MAX_TERMS]
-    machine = Machine(ids, float(np.log(prior / (1 - prior))), np.zeros(len(ids)), random.normal(0, 0.02, (len(ids), factors)))
+    ids, texts = np.unique(terms, return_counts=True)
+    keep = texts >= LEAST_TEXTS
+    ids, texts = ids[keep], texts[keep]
+    toxic = np.bincount(np.searchsorted(ids, terms[(own := np.isin(terms, ids))]), np.repeat(y > 0, lengths)[own], len(ids))
+    places = _places(ids, texts)
+    rows = int(places.max()) + 1 if len(ids) else 0
+    machine = Machine(ids, places, float(np.log(prior / (1 - prior))), np.zeros(rows), random.normal(0, 0.02, (rows, factors)))
+    texts, toxic = (np.maximum(1e-9, np.bincount(places, each, rows)) for each in (texts, toxic))
+    surprise = (toxic - texts * prior) ** 2 / np.maximum(texts * prior * (1 - prior), 1e-9)
+    penalty = PENALTY / (1 + (surprise / 4) ** 2) / texts
     if positive in (0, len(y)) or not len(ids):
         machine.factors[:] = 0.0
         return machine
     owner = np.repeat(np.arange(len(y)), lengths)
     row = np.minimum(np.searchsorted(ids, terms), len(ids) - 1)
     known = ids[row] == terms
-    owner, row = owner[known], row[known]
+    owner, row = owner[known], places[row[known]]
     ends = np.searchsorted(owner, np.arange(len(y)), side="right")
     starts = np.concatenate([[0], ends[:-1]])
     weight = np.where(y > 0, (len(y) - positive) / positive, 1.0) ** 0.5
-    seen = np.full((len(ids), factors + 1), 1e-2)
+    seen = np.full((rows, factors + 1), 1e-2)
     seen_bias = 1e-2
     for _ in range(epochs):
         order = random.permutation(len(y))
         for at in range(0, len(order), 128):
             batch = order[at : at + 128]
-            rows = np.concatenate([row[starts[i] : ends[i]] for i in batch])
+            of_batch = np.concatenate([row[starts[i] : ends[i]] for i in batch])
             counts = ends[batch] - starts[batch]
             last = np.cumsum(counts)
-            error = (_logistic(machine.raw(rows, last)) - (y[batch] > 0)) * weight[batch] / len(batch)
-            sums = _sums(machine.factors[rows], last - counts, last)
+            error = (_logistic(machine.raw(of_batch, last)) - (y[batch] > 0)) * weight[batch] / len(batch)
+            sums = _sums(machine.factors[of_batch], last - counts, last)
             each = np.repeat(np.arange(len(batch)), counts)
-            used, place = np.unique(rows, return_inverse=True)
-            gradient = np.empty((len(used), factors + 1))
-            gradient[:, -1] = np.bincount(place, error[each], len(used))
-            for f in range(factors):
-                gradient[:, f] = np.bincount(place, error[each] * sums[each, f], len(used)) - gradient[:, -1] * machine.factors[used, f]
-            gradient[:, :-1] += 1e-5 * machine.factors[used]
-            gradient[:, -1] += 1e-5 * machine.weights[used]
+            order_of = np.argsort(of_batch, kind="stable")
+            first = np.flatnonzero(np.diff(of_batch[order_of], prepend=-1))
+            used = of_batch[order_of[first]]
+            parts = np.column_stack([error[:, None] * sums, error])
+            gradient = np.add.reduceat(parts[each[order_of]], first, axis=0)
+            gradient[:, :-1] -= gradient[:, -1:] * machine.factors[used]
+            shrink = penalty[used] * np.diff(first, append=len(of_batch)) / len(batch)
+            gradient[:, :-1] += shrink[:, None] * machine.factors[used]
+            gradient[:, -1] += shrink * machine.weights[used]
             seen[used] += gradient**2
             step = 0.3 * gradient / np.sqrt(seen[used])
             machine.weights[used] -= step[:, -1]
@@ -188,16 +196,26 @@ def train(terms: np.ndarray, lengths: np.ndarray, y: np.ndarray, factors: int, e
     return machine
 
 
+def _places(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The row of every term: its own, or one by its hash for the rarest of too many."""
+    if len(ids) <= MAX_TERMS:
+        return np.arange(len(ids))
+    own = MAX_TERMS - SHARED_ROWS
+    places = own + ids % SHARED_ROWS
+    places[np.argsort(-texts, kind="stable")[:own]] = np.arange(own)
+    return places
+
+
 def _scorer(spark: SparkSession, machine: Machine):
     shared = spark.sparkContext.broadcast(machine)
     state = {}
 
     def score(texts: list[bytes]) -> np.ndarray:
         if not state:
-            row_of = {int(t): i for i, t in enumerate(shared.value.ids)}
-            state["memo"] = Memo(lambda word: row_of.get(term_id(word), -1))
-        rows, ends = distinct_terms(texts, state["memo"])
-        return _logistic(shared.value.raw(rows, ends))
+            known = set(shared.value.ids.tolist())
+            state["memo"] = Memo(lambda word: term if (term := term_id(word)) in known else -1)
+        terms, ends = distinct_terms(texts, state["memo"])
+        return _logistic(shared.value.raw(shared.value.places[np.searchsorted(shared.value.ids, terms)], ends))
 
     return score
 

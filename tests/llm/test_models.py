@@ -34,6 +34,25 @@ def test_machine_learns_a_pair_that_no_weight_can():
     assert ((raw > 0) == (y > 0)).mean() > 0.99
 
 
+@pytest.mark.parametrize("pair", [lambda a, b: a != b, lambda a, b: a == b])
+def test_machine_learns_pairs_of_terms_without_surprise(pair, monkeypatch):
+    """Exclusive-or and its opposite: either term alone is toxic as often as any text."""
+    random = np.random.default_rng(1)
+    drawn = random.integers(0, 2, (2400, 2))
+    texts = [b" ".join([b"insult"] * a + [b"group"] * b + [b"w%d" % w for w in random.integers(0, 50, 5)]) for a, b in drawn]
+    y = np.array([float(pair(a, b)) for a, b in drawn])
+    terms, ends = toxicity_fm.distinct_terms(texts, Memo(toxicity_fm.term_id))
+    lengths = np.diff(ends, prepend=0)
+    machine = toxicity_fm.train(terms, lengths, y, factors=8, epochs=40, seed=3)
+    assert machine.ids.tolist() == sorted(set(terms.tolist()))
+    raw = machine.raw(machine.places[np.searchsorted(machine.ids, terms)], ends)
+    assert ((raw > 0) == (y > 0)).mean() > 0.98
+    monkeypatch.setattr(toxicity_fm, "MAX_TERMS", 20)
+    monkeypatch.setattr(toxicity_fm, "SHARED_ROWS", 8)
+    few = toxicity_fm.train(terms, lengths, y, factors=8, epochs=1, seed=3)
+    assert len(few.weights) <= 20 and few.ids.tolist() == machine.ids.tolist()
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Insults at random places of noise; the folds are those of the query."""
     random = np.random.default_rng(2)
