@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally.operators.ingest import MAX_BODY_BYTES
-from hourtally.sources.files import is_hidden, read_hidden_texts
-from hourtally.sources.listing import list_objects, literal_path, path_exists
+from hourtally.sources.files import is_hidden_below, read_hidden_texts
+from hourtally.sources.listing import list_objects, literal_path, path_exists, qualified_path
 
 # Media types by file suffix; another suffix has no known type.
 MEDIA_TYPES = {".json": "application/json", ".csv": "text/csv"}
@@ -41,10 +41,10 @@ def read_body_files(spark: SparkSession, folder: str, max_body_bytes: int = MAX_
 
     A file above the limit is never read: it is known by its size alone and
     has a NULL body. Its size still makes it a too large batch. Empty files have
-    an empty body, and hidden ones are read by the tasks that list them.
+    an empty body, and hidden ones, or those in hidden folders, are read by the tasks that list them.
     """
     listed = list_objects(spark, folder).withColumnsRenamed({"key": "batch_id", "bytes": "body_bytes"})
-    size, hidden = F.col("body_bytes"), is_hidden(F.col("batch_id"))
+    size, hidden = F.col("body_bytes"), is_hidden_below(F.col("batch_id"), qualified_path(spark, folder))
     empty = _unread(listed.where(size == 0), F.lit(""))
     large = _unread(listed.where(size > max_body_bytes), F.lit(None))
     unseen = listed.where(hidden & (size > 0) & (size <= max_body_bytes))

@@ -1,7 +1,7 @@
 """Files as they are stored, hidden and empty ones included.
 
-Spark's readers pass over files whose names begin with ``_`` or ``.`` and over
-empty ones, and have no option for it. Listings therefore ask the file system:
+Spark's readers pass over files and folders whose names begin with ``_`` or ``.``
+and over empty files, and have no option for it. Listings therefore ask the file system:
 the folders directly below the root once, and what lies below each of them in a
 task of its own. File systems that Arrow cannot open are listed by Spark, which
 sees neither kind.
@@ -21,10 +21,19 @@ LISTING_SCHEMA = "key STRING, modified TIMESTAMP, bytes BIGINT"
 # What writers leave beside their files: checksums, and folders of unfinished jobs.
 _LEFTOVERS = re.compile(r"(?:\A|/)(?:\.[^/]*\.crc\Z|_temporary/|_spark_metadata/|\.spark-staging[^/]*/)")
 
+# Names that Spark's readers pass over; ``_k=1`` is a partition and is read.
+_PASSED_OVER = r"(?:\.[^/]*|_[^/=]*|[^/]*\._COPYING_)"
+
 
 def is_hidden(key: Column) -> Column:
     """Whether Spark's readers would pass over a file for its name."""
-    return F.substring_index(key, "/", -1).rlike(r"\A[_.]|\._COPYING_\z")
+    return F.substring_index(key, "/", -1).rlike(rf"\A{_PASSED_OVER}\z")
+
+
+def is_hidden_below(key: Column, root: str) -> Column:
+    """Whether a recursive read of ``root``, a qualified path, would pass over a file for its name or a folder's."""
+    below = F.substring(key, len(root.rstrip("/")) + 1, 2**30)
+    return is_hidden(key) | below.rlike(rf"/(?!_metadata|_common_metadata){_PASSED_OVER}/")
 
 
 def open_file_system(uri: str):

@@ -568,3 +568,15 @@ def test_years_that_no_folder_can_hold(spark, tmp_path):
     assert set(stored_lines(tmp_path / "logs")) == {"date=9999-12-31/hour=23", "date=0000-01-01/hour=00"}
     rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
     assert {(r["batch_id"], r["status"]) for r in rejects} == {("0", 500), ("1", 500)}
+
+
+def test_bodies_in_hidden_folders_and_with_partition_names(spark, tmp_path):
+    """Every file has one outcome, whichever way Spark's readers take its name or its folders' names."""
+    names = ["a.json", "_k=1.json", "_b.json", ".c.json", "_metadata.json", "d._COPYING_", "in/_late/x.json", "in/.late/x.json"]
+    names += ["_k=2/x.json", "_k=2/_x.json", "_metadata/x.json", "_metadata_2/_y/x.json", "_common_metadata/x.json", "e._COPYING_/x.json"]
+    root = tmp_path / "_root" / ".in"
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    rows = read_body_files(spark, str(root)).collect()
+    assert sorted(r["body"] for r in rows) == sorted(names)
