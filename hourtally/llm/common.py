@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast ``value``; the function returned gives it back in a task.
+
+    It travels as bytes that carry its classes along, so executors need no copy
+    of this package. A task calls the function once and keeps the result.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 class Memo(dict):
     """A bounded cache of ``make(key)``: two generations of ``limit`` entries each.
 

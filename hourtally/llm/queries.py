@@ -7,6 +7,7 @@ from hourtally.llm.decision_list import op6_decision_list
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.language_centroids import op4_language_centroids
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
+from hourtally.llm.phrase_stripes import OP11_SQL, op11_phrase_stripes
 from hourtally.llm.rans_files import op3_rans_files
 from hourtally.llm.recurrent_lm import op7_recurrent_lm
 from hourtally.llm.source_mixing import OP2_SQL, op2_source_mixing
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_bpe_trie": op10_bpe_trie,
+    "op11_phrase_stripes": op11_phrase_stripes,
 }
 
 ORACLE = {
     "op2_source_mixing": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
+    "op11_phrase_stripes": OP11_SQL,
 }
