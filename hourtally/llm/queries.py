@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hourtally.llm.bpe_trie import op10_bpe_trie
+from hourtally.llm.burst_trie import OP13_SQL, op13_burst_trie
 from hourtally.llm.decision_list import op6_decision_list
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.language_centroids import op4_language_centroids
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_bpe_trie": op10_bpe_trie,
     "op11_phrase_stripes": op11_phrase_stripes,
+    "op13_burst_trie": op13_burst_trie,
 }
 
 ORACLE = {
@@ -33,4 +35,5 @@ ORACLE = {
     "op5_exact_dedup": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op11_phrase_stripes": OP11_SQL,
+    "op13_burst_trie": OP13_SQL,
 }
