@@ -8,6 +8,7 @@ from hourtally.llm.decision_list import op6_decision_list
 from hourtally.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from hourtally.llm.language_centroids import op4_language_centroids
 from hourtally.llm.minhash_join import OP8_SQL, op8_minhash_near_dedup
+from hourtally.llm.personal_data import op12_personal_data
 from hourtally.llm.phrase_stripes import OP11_SQL, op11_phrase_stripes
 from hourtally.llm.rans_files import op3_rans_files
 from hourtally.llm.recurrent_lm import op7_recurrent_lm
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_wordpiece_counts": op9_wordpiece_counts,
     "op10_bpe_trie": op10_bpe_trie,
     "op11_phrase_stripes": op11_phrase_stripes,
+    "op12_personal_data": op12_personal_data,
     "op13_burst_trie": op13_burst_trie,
 }
 
