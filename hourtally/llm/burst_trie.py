@@ -319,7 +319,7 @@ WITH turns AS (
 ), taken AS (
     SELECT conv_id, turns, conv_id - conv_id % 100 AS donor, xor(4294967295, list_reduce(
         list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
-            lambda i: [ascii(conv_id::VARCHAR[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
         lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) % 6 AS h
     FROM own
 ), rebuilt AS (
