@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import hash64, list_array, read_table, share, slices, utf8_of
+from hourtally.llm.common import hash64, list_array, read_table, share, slices, text_slices, utf8_of
 from hourtally.session import materialize
 
 LEAST = 30
@@ -46,7 +46,7 @@ PERCENT = 80
 TOP = 2_000
 NO_LANGUAGE = "und"
 FILTER_BITS = 1 << 26
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 SALTS = 64
 
 _SPACE, _BREAK = 32, 10
@@ -212,8 +212,9 @@ def _scan(docs: DataFrame, stripes, chunk: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for words in chunked(utf8_of(batch), utf8_of(batch, "lang"), chunk):
-                yield from (rows for rows in stripes(words) if rows.num_rows)
+            for piece in text_slices(batch, most=chunk):
+                for words in chunked(utf8_of(piece), utf8_of(piece, "lang"), chunk):
+                    yield from (rows for rows in stripes(words) if rows.num_rows)
 
     return docs.select("text", lang.alias("lang")).mapInArrow(run, _STRIPES)
 
