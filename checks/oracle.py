@@ -194,6 +194,11 @@ FROM good GROUP BY ALL""",
     "streamed_hourly_counts": f"WITH {_LINES} {_GOOD_COUNTS}",
     "oddly_named_counts": f"WITH {_LOGS} {_counts('logs')}",
     "flat_refresh_counts": f"WITH {_LOGS}, even AS (SELECT * FROM logs WHERE event_id % 2 = 0) {_counts('even')}",
+    "twice_written_counts": f"WITH {_LOGS} {_counts('logs')}",
+    "compacted_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
+    "current_hour_counts": f"""WITH {_LOGS}, running AS (
+  SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-15 10:00:00' AND ts < TIMESTAMP '2024-01-15 11:00:00')
+{_counts('running')}""",
     "compressed_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
     "pipeline_counters": f"""WITH {_batches('mixed')}
 SELECT 'log_batches_received_total' AS metric, count(*) FILTER (WHERE status = 202) AS value FROM outcomes

@@ -14,8 +14,9 @@ from hourtally.functions import keys
 from hourtally.functions.timestamps import date_token, hour_rfc3339, hour_token, utc_hour
 from hourtally.operators import counting, counters, dead_letters, documents, freshness, ingest, lines
 from hourtally.operators.ingest import ACCEPTED, keep_when
+from hourtally.plans.compaction import compact
 from hourtally.plans.ingest import publish_batches
-from hourtally.plans.refresh import counts_path, refresh, runs_path
+from hourtally.plans.refresh import counts_path, refresh, refresh_current_hour, runs_path
 from hourtally.session import ensure_checkpoint_dir, materialize
 from hourtally.sinks.hourly_logs import encode_records, write_hourly
 from hourtally.sinks.summaries import read_counts
@@ -315,6 +316,35 @@ def flat_refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed_counts(spark, folder, layout="flat", paths_per_scan=100)
 
 
+def twice_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries with a refresh after each; the second adds to hours that are summarised already."""
+    folder = _fresh_folder(spark)
+    late = F.col("event_id") % 7 == 3
+    for number, delivery in enumerate((~late, late)):
+        name = F.lit(f"/pod-{number}")
+        inputs.write_log_files(inputs.log_view(spark, sf_dir).where(delivery), f"{folder}/logs", name)
+        counts = _listed_counts(spark, folder)
+    return counts
+
+
+def compacted_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of four shards become hours of one file, and are then counted from the start."""
+    folder = _fresh_folder(spark)
+    shard = F.concat(F.lit("/pod-"), (F.col("event_id") % 4).cast("string"))
+    inputs.write_log_files(inputs.log_view(spark, sf_dir), f"{folder}/logs", shard)
+    compact(spark, f"{folder}/logs", before=datetime(2100, 1, 1))
+    return _listed_counts(spark, folder)
+
+
+def current_hour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hour of a given clock alone is refreshed, out of the logs of all hours."""
+    folder = _fresh_folder(spark)
+    inputs.write_log_files(inputs.log_view(spark, sf_dir), f"{folder}/logs", F.lit("/pod"))
+    refresh_current_hour(spark, f"{folder}/logs", f"{folder}/analytics", now=HOUR)
+    counts = read_counts(spark, counts_path(f"{folder}/analytics"))
+    return _with_hour_text(counts.where(F.col("dim") != "listed"), "dim", "key", "requests")
+
+
 def compressed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly logs as gzip files, counted without a refresh."""
     folder = _fresh_folder(spark)
@@ -376,6 +406,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         streamed_hourly_counts,
         oddly_named_counts,
         flat_refresh_counts,
+        twice_written_counts,
+        compacted_hourly_counts,
+        current_hour_counts,
         compressed_hourly_counts,
         pipeline_counters,
     )

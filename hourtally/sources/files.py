@@ -1,23 +1,32 @@
 """Files as they are stored, hidden and empty ones included.
 
 Spark's readers pass over files and folders whose names begin with ``_`` or ``.``
-and over empty files, and have no option for it. Listings therefore ask the file system:
-the folders directly below the root once, and what lies below each of them in a
-task of its own. File systems that Arrow cannot open are listed by Spark, which
-sees neither kind.
+and over empty files, and have no option for it. Listings therefore ask the file
+system, in tasks: folders are rows, a task walks those it got until it has seen
+``ENTRIES`` entries and hands the folders it has not reached to the next round,
+which deals them over all cores. A small tree takes one round and a large one
+few. One folder is listed by one task, as file systems list folders. File
+systems that Arrow cannot open are listed by Spark, which sees neither kind.
 """
 
 from __future__ import annotations
 
 import io
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourtally.session import materialize
+
 LISTING_SCHEMA = "key STRING, modified TIMESTAMP, bytes BIGINT"
+ENTRIES = 20_000  # files and folders that a task lists before it hands folders on
+RANGE_BYTES = 64 << 20
+_LISTED_AT_ONCE = 10_000
 # What writers leave beside their files: checksums, and folders of unfinished jobs.
 _LEFTOVERS = re.compile(r"(?:\A|/)(?:\.[^/]*\.crc\Z|_temporary/|_spark_metadata/|\.spark-staging[^/]*/)")
 
@@ -48,42 +57,59 @@ def open_file_system(uri: str):
         raise ValueError(f"no file system for {uri}") from problem
 
 
-def _rows(root: str, base: str, infos: Iterable) -> pa.RecordBatch:
-    """Files as rows; keys are spelled like ``root``."""
+def _rows(root: str, base: str, infos: Iterable, folders: Iterable[str] = ()) -> pa.RecordBatch:
+    """Files as rows, whose keys are spelled like ``root``, and folders that are still to be listed."""
     from pyarrow import fs
 
     files = [i for i in infos if i.type == fs.FileType.File and not _LEFTOVERS.search(i.path[len(base) :])]
-    keys = pa.array([root.rstrip("/") + i.path[len(base.rstrip("/")) :] for i in files], pa.string())
-    times = pa.array([(i.mtime_ns or 0) // 1000 for i in files], pa.int64()).cast(pa.timestamp("us", "UTC"))
-    return pa.RecordBatch.from_arrays([keys, times, pa.array([i.size for i in files], pa.int64())], names=["key", "modified", "bytes"])
-
-
-def list_files(spark: SparkSession, root: str, folders: set[str] | None = None) -> DataFrame:
+    folders = list(folders)
+    none = [None] * len(folders)
+    keys = [root.rstrip("/") + i.path[len(base.rstrip("/")) :] for i in files]
+    times = [(i.mtime_ns or 0) // 1000 for i in files]
+    columns = {
+        "key": pa.array(keys + none, pa.string()),
+        "modified": pa.array(times + none, pa.int64()).cast(pa.timestamp("us", "UTC")),
+        "bytes": pa.array([i.size for i in files] + none, pa.int64()),
+        "folder": pa.array([None] * len(files) + folders, pa.string()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def list_files(spark: SparkSession, root: str, folders: set[str] | None = None, entries: int = ENTRIES, folder: str | None = None) -> DataFrame:
     """``key, modified, bytes`` of every file below ``root``; ``folders`` limits it to these children.
 
     ``root`` is a qualified path. Raises ``ValueError`` where Arrow cannot open it.
+    The driver learns how many folders a round has left, and no name.
     """
     from pyarrow import fs
 
-    file_system, base = open_file_system(root)
-    children = file_system.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    if folders is not None:
-        children = [c for c in children if c.base_name in folders]
-    deeper = [(c.path,) for c in children if c.type == fs.FileType.Directory]
-    top = _rows(root, base, children)
-    rows = [(k, t, n) for k, t, n in zip(*[c.to_pylist() for c in top.columns])]
-    listed = spark.createDataFrame(rows, LISTING_SCHEMA)
-    if not deeper:
-        return listed
+    _, base = open_file_system(root)
+    base = base.rstrip("/") or "/"
 
     def walk(batches):
         file_system, _ = open_file_system(root)
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                yield _rows(root, base, file_system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)))
-
-    tasks = min(len(deeper), 4 * spark.sparkContext.defaultParallelism)
-    return listed.unionByName(spark.createDataFrame(deeper, "path STRING").repartition(tasks).mapInArrow(walk, LISTING_SCHEMA))
+        waiting = deque(path for batch in batches for path in batch.column("folder").to_pylist())
+        seen = 0
+        while waiting and seen < entries:
+            path = waiting.popleft()
+            infos = file_system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            if folders is not None and path == base:
+                infos = [i for i in infos if i.base_name in folders]
+            seen += 1 + len(infos)
+            waiting.extend(i.path for i in infos if i.type == fs.FileType.Directory and not _LEFTOVERS.search(i.path[len(base) :] + "/"))
+            for start in range(0, len(infos), _LISTED_AT_ONCE):
+                yield _rows(root, base, infos[start : start + _LISTED_AT_ONCE])
+        yield _rows(root, base, (), waiting)
+
+    found, left = [], spark.createDataFrame([(base,)], "folder STRING").coalesce(1)
+    while True:
+        listed = materialize(left.mapInArrow(walk, f"{LISTING_SCHEMA}, folder STRING"), folder)
+        found.append(listed.where("key is not null").drop("folder"))
+        left = listed.where("folder is not null").select("folder")
+        many = left.count()
+        if not many:
+            return reduce(DataFrame.unionByName, found)
+        left = left.repartition(min(many, 4 * spark.sparkContext.defaultParallelism))
 
 
 def _chunks(lines: Iterable[str], size: int = 4096) -> Iterator[list[str]]:
@@ -97,20 +123,39 @@ def _chunks(lines: Iterable[str], size: int = 4096) -> Iterator[list[str]]:
         yield chunk
 
 
-def read_hidden_lines(spark: SparkSession, keys: list[str]) -> DataFrame:
-    """``value, path``: the lines of files that Spark's readers pass over, read in tasks."""
+def read_hidden_lines(listed: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``value, path``: the lines of listed files ``key, bytes`` that Spark's readers pass over.
+
+    A file is read in ranges, each by a task that may be any. A line belongs to
+    the range that its first byte lies in and is read to its end.
+    """
 
     def read(batches):
         for batch in batches:
-            for key in batch.column("path").to_pylist():
+            for key, start in zip(batch.column("key").to_pylist(), batch.column("start").to_pylist()):
                 file_system, path = open_file_system(key)
-                with io.BufferedReader(file_system.open_input_stream(path)) as stream:
-                    lines = (raw.removesuffix(b"\n").decode("utf-8", "replace") for raw in stream)
-                    for chunk in _chunks(lines):
+                with io.BufferedReader(file_system.open_input_file(path), 1 << 20) as stream:
+                    for chunk in _chunks(_lines_of_range(stream, start, start + range_bytes)):
                         yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.string()), pa.array([key] * len(chunk), pa.string())], names=["value", "path"])
 
-    tasks = max(1, min(len(keys), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(k,) for k in keys], "path STRING").repartition(tasks).mapInArrow(read, "value STRING, path STRING")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
+    ranges = listed.where("bytes > 0").select("key", starts.alias("start"))
+    # A number of its own, as the rows are too small for Spark to see the work in them.
+    tasks = 4 * listed.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(tasks, "key", "start").mapInArrow(read, "value STRING, path STRING")
+
+
+def _lines_of_range(stream, start: int, end: int) -> Iterator[str]:
+    if start:
+        stream.seek(start - 1)
+        stream.readline()  # the rest of a line that began before
+    at = stream.tell()
+    while at < end:
+        raw = stream.readline()
+        if not raw:
+            return
+        at += len(raw)
+        yield raw.removesuffix(b"\n").decode("utf-8", "replace")
 
 
 def read_hidden_texts(listed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourtally.functions.keys import LOG_SUFFIX, hour_from_flat_path, hour_from_summary_key
+from hourtally.functions.keys import LOG_SUFFIX, hour_from_flat_path
 from hourtally.sources.files import list_files
 
 LISTING = T.StructType(
@@ -30,6 +30,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders directly below ``path``, which are few."""
+    hadoop_path, file_system = _on_file_system(spark, path)
+    if not file_system.exists(hadoop_path):
+        return []
+    return sorted(s.getPath().getName() for s in file_system.listStatus(hadoop_path) if s.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path, file_system = _on_file_system(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
 def literal_path(path: str) -> str:
     """A path as Spark's readers take it, which read most marks as patterns."""
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
@@ -41,16 +54,17 @@ def qualified_path(spark: SparkSession, path: str) -> str:
     return file_system.makeQualified(hadoop_path).toString()
 
 
-def list_objects(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
+def list_objects(spark: SparkSession, root: str, dates: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """``key, modified, bytes`` of every file below ``root``, hidden and empty ones included.
 
     ``dates`` limits the walk to the folders of those days. A missing root is an
-    empty listing. File contents are not read. Where Arrow cannot open the file
+    empty listing. File contents are not read. The listing is a table in ``folder``,
+    by default in the checkpoint folder. Where Arrow cannot open the file
     system, Spark lists it and leaves hidden and empty files out.
     """
     days = None if dates is None else {prefix + day for day in dates for prefix in ("", "date=")}
     try:
-        return list_files(spark, qualified_path(spark, root), days)
+        return list_files(spark, qualified_path(spark, root), days, folder=folder)
     except ValueError:
         return _listed_by_spark(spark, root, days)
 
@@ -84,12 +98,3 @@ def flat_objects(listing: DataFrame, root: str) -> DataFrame:
     return listing.withColumn("hour", hour_from_flat_path(F.col("key"), root)).where(
         F.col("hour").isNotNull()
     )
-
-
-def list_summaries(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
-    """``hour, modified`` of every stored summary file."""
-    return (
-        list_objects(spark, root, dates)
-        .select(hour_from_summary_key(F.col("key")).alias("hour"), "modified")
-        .where(F.col("hour").isNotNull())
-    )

@@ -34,7 +34,7 @@ from hourtally.plans.refresh import (
 from hourtally.schema import RAW_BATCH
 from hourtally.sinks.dead_letters import read_producer_dead_letters
 from hourtally.sinks.hourly_logs import compression_option, write_hourly
-from hourtally.sinks.summaries import read_counts, read_documents
+from hourtally.sinks.summaries import committed_hours, read_counts, read_documents
 from hourtally.sources.batches import read_body_files, stream_body_files
 from hourtally.sources.listing import list_log_objects
 
@@ -333,15 +333,17 @@ def test_overlong_line_fails_only_its_hour(spark, tmp_path):
 
 def test_freshness_boundary(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
+    commits = {}
     for hour in (10, 11, 12, 13):
         put(logs, f"2025-11-15/{hour}.log.json", [line()], 1_700_000_000)
-    refresh(spark, str(logs), str(out))
+        refresh_hour(spark, str(logs), str(out), datetime(2025, 11, 15, hour))
+        (commits[hour],) = set((out / "commits").iterdir()) - set(commits.values())
     for hour in (10, 11, 12, 13):
         put(logs, f"2025-11-15/{hour}.log.json", [line("/new")], 1_700_000_000)
     for hour, mtime in ((10, 1_699_999_999), (11, 1_700_000_000), (12, 1_700_000_001)):
-        for file in (out / "summaries" / "date=2025-11-15" / f"hour={hour}").glob("part-*"):
+        for file in commits[hour].glob("part-*"):
             os.utime(file, (mtime, mtime))
-    for file in (out / "summaries" / "date=2025-11-15" / "hour=13").iterdir():
+    for file in commits[13].iterdir():
         file.unlink()
     assert refresh(spark, str(logs), str(out)).refreshed_hours == 2
     found = {hour: list(paths)[0] for hour, (paths, _) in summaries(spark, out).items()}
@@ -397,9 +399,10 @@ def test_scans_in_groups(spark, tmp_path):
         put(logs, f"2025-11-15/{hour:02}/pod.log.json", [line(f"/{hour}")])
     put(logs, "stray.log.json", [line("/stray")])
     refresh_hour(spark, str(logs), str(out), datetime(2025, 11, 15, 2))
-    before = sorted(p.name for p in (out / "summaries" / "date=2025-11-15" / "hour=02").iterdir())
+    run_of = lambda: {r["hour"].hour: r["run"] for r in committed_hours(spark, str(out)).collect()}
+    before = run_of()
     assert refresh(spark, str(logs), str(out), paths_per_scan=2).refreshed_hours == 4
-    assert sorted(p.name for p in (out / "summaries" / "date=2025-11-15" / "hour=02").iterdir()) == before
+    assert before == {2: run_of()[2]} and len(set(run_of().values())) == 2
     assert {list(paths)[0] for paths, _ in summaries(spark, out).values()} == {f"/{h}" for h in range(5)}
 
 
