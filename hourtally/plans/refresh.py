@@ -7,6 +7,7 @@ the others are taken over, and those of vanished ones subtracted.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -196,6 +197,13 @@ def merged_counts(base: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFra
     return parts.groupBy(*columns).agg(F.sum("requests").alias("requests")).where("requests > 0")
 
 
+def _side_by_side(*writes: tuple[Callable[[DataFrame, str], None], DataFrame, str]) -> None:
+    """Run writes as concurrent jobs; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(write, rows, folder) for write, rows, folder in writes]:
+            done.result()
+
+
 def _summarise(
     spark: SparkSession, analytics_root: str, objects: DataFrame, todo: DataFrame, hours: int, options: _Options, folder: str
 ) -> tuple[int, int]:
@@ -226,11 +234,13 @@ def _summarise(
     malformed = counts.where(F.col("dim") == DIM_MALFORMED).agg(F.sum("requests")).first()[0] or 0
     if failed_hours < hours:
         run = new_run()
-        write_partials(partials, run_path(analytics_root, "partials", run))
         stored = F.when(F.col("fresh"), F.lit(run)).otherwise(F.col("stored"))
-        write_objects(listed.withColumn("stored", stored), run_path(analytics_root, "objects", run))
-        write_counts(counts, run_path(analytics_root, "counts", run))
-        write_documents(summary_documents(counts, options.document_parts), run_path(analytics_root, "summaries", run))
+        _side_by_side(
+            (write_partials, partials, run_path(analytics_root, "partials", run)),
+            (write_objects, listed.withColumn("stored", stored), run_path(analytics_root, "objects", run)),
+            (write_counts, counts, run_path(analytics_root, "counts", run)),
+            (write_documents, summary_documents(counts, options.document_parts), run_path(analytics_root, "summaries", run)),
+        )
         write_commit(listed.select("hour").distinct(), analytics_root, run)
     return failed_hours, malformed
 
