@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import Memo, map_batches, read_table
+from hourtally.llm.common import Memo, Shared, map_batches, read_table
 
 # Fixed value: the pattern that cuts a text into the words of this tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -293,7 +293,7 @@ def encoder_of(shared) -> Encoder:
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ids by the trie, the text decoded from them."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bpe.load(vocabulary))
+    shared = Shared(docs.sparkSession, Bpe.load(vocabulary))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = encoder_of(shared)
@@ -311,7 +311,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids`` with the token ids of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bpe.load(vocabulary))
+    shared = Shared(docs.sparkSession, Bpe.load(vocabulary))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoded = encoder_of(shared).encode([x or "" for x in batch.column("text").to_pylist()])
@@ -323,7 +323,7 @@ def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Bpe.load(vocabulary))
+    shared = Shared(encoded.sparkSession, Bpe.load(vocabulary))
 
     def run(batches):
         encoder = encoder_of(shared)

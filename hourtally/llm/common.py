@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +27,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def share(spark: SparkSession, value) -> Callable:
-    """Broadcast ``value``; the function returned gives it back in a task.
+class Shared:
+    """A broadcast value. It travels as bytes that carry its classes along, so executors need no copy of this package.
 
-    It travels as bytes that carry its classes along, so executors need no copy
-    of this package. A task calls the function once and keeps the result.
+    ``value`` is unpacked once per Python worker and is one object in all its tasks.
     """
-    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(packed.value)
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.packed, "unpacked"):
+            self.packed.unpacked = pickle.loads(self.packed.value)
+        return self.packed.unpacked
 
 
 class Memo(dict):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import fold, list_array, map_batches, read_table
+from hourtally.llm.common import Shared, fold, list_array, map_batches, read_table
 
 MAX_TRAINING_ROWS = 6_000  # in expectation and over all languages, drawn by a hash of their ids
 CENTROIDS = 4
@@ -148,7 +148,7 @@ def centroids_of(table: pa.Table, k: int) -> Centroids:
 
 def languages_of(docs: DataFrame, model: Centroids) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every row of ``doc_id, text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, score, rejected = shared.value.predict([x or "" for x in batch.column("text").to_pylist()])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourtally.llm.bilstm_crf import Tagger, train
-from hourtally.llm.common import hash64, read_table, share, text_slices
+from hourtally.llm.common import Shared, hash64, read_table, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 96
@@ -283,11 +283,11 @@ def text_spans(texts: list[str], tagger: Tagger | None, sure: float, width: int)
 
 def personal_data(docs: DataFrame, tagger: Tagger | None, sure: float = SURE, width: int = WINDOW) -> DataFrame:
     """``doc_id, base, added`` for every row of ``doc_id, text``: arrays of ``kind, start, end``."""
-    model = share(docs.sparkSession, tagger)
+    model = Shared(docs.sparkSession, tagger)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        loaded = model()
+        loaded = model.value
         for batch in batches:
             for piece in text_slices(batch):
                 found = text_spans([t or "" for t in piece.column("text").to_pylist()], loaded, sure, width)
@@ -312,11 +312,11 @@ def masked_text(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame, tagger: Tagger | None, sure: float = SURE, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, with the personal data in ``text`` masked; null stays null."""
-    model = share(docs.sparkSession, tagger)
+    model = Shared(docs.sparkSession, tagger)
     at = docs.columns.index("text")
 
     def run(batches):
-        loaded = model()
+        loaded = model.value
         for batch in batches:
             for piece in text_slices(batch):
                 texts = piece.column(at).to_pylist()

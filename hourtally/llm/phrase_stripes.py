@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import hash64, list_array, read_table, share, slices, text_slices, utf8_of
+from hourtally.llm.common import Shared, hash64, list_array, read_table, slices, text_slices, utf8_of
 from hourtally.session import materialize
 
 LEAST = 30
@@ -256,10 +256,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, bits: int, chunk
     short = materialize(merged(_scan(docs, short_stripes, chunk), least))
     totals = short.where("lang is not null").select("lang", "n")
     single = short.where("lang is null").select("prefix", "next", "n")
-    passes = share(docs.sparkSession, pair_filter(single.where(F.size("prefix") == 1), bits))
+    passes = Shared(docs.sparkSession, pair_filter(single.where(F.size("prefix") == 1), bits))
 
     def stripes(words):
-        return long_stripes(words, passes(), bits, longest)
+        return long_stripes(words, passes.value, bits, longest)
 
     long = materialize(merged(_scan(docs, stripes, chunk), least))
     phrases = single.unionByName(long.where("lang is null").select("prefix", "next", "n"))

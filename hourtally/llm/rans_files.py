@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourtally.llm.bpe_trie import byte_of_letter, tokenizer_path
-from hourtally.llm.common import list_array, map_batches, read_table, utf8_of
+from hourtally.llm.common import Shared, list_array, map_batches, read_table, utf8_of
 from hourtally.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -237,7 +237,7 @@ def read_spec(vocabulary: str) -> tuple[str, int]:
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids`` with the ids of a text and the end id as little-endian integers."""
     spec, _ = read_spec(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
+    shared = Shared(docs.sparkSession, {"spec": spec})
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         tables = shared.value  # one object in all tasks of a Python worker
@@ -276,7 +276,7 @@ def encode_files(tokens: DataFrame, tables: Tables, size: int) -> DataFrame:
     stored = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(MAX_PARTS, max(parts, -(-stored // PART_BYTES)))
-    shared = spark.sparkContext.broadcast(tables)
+    shared = Shared(spark, tables)
     dtype = id_type(size)
 
     def block(part: int, turn: int, offset: int, docs: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -318,7 +318,7 @@ def placed_blocks(blocks: DataFrame) -> DataFrame:
 
 def decoded(blocks: DataFrame, tables: Tables, schema: str, columns) -> DataFrame:
     """Rows of ``columns(docs, starts, lengths, ids)`` for the documents of every block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(tables)
+    shared = Shared(blocks.sparkSession, tables)
 
     def run(batches):
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourtally.llm import gru
-from hourtally.llm.common import fold, map_batches, read_table, utf8_of
+from hourtally.llm.common import Shared, fold, map_batches, read_table, utf8_of
 from hourtally.session import materialize
 
 FOLDS, HELD_OUT = 5, 1
@@ -150,12 +150,12 @@ def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str,
     params = gru.fresh(counts.probabilities())
     if not counts.ends:
         return params
-    shared = spark.sparkContext.broadcast(counts)
+    shared = Shared(spark, counts)
     read = materialize(training_ids(training, shared))
     tokens = (read.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2
     shards = int(min(MAX_SHARDS, max(1, tokens // SHARD_TOKENS)))
     for _ in range(rounds):
-        start = spark.sparkContext.broadcast(params)
+        start = Shared(spark, params)
 
         def run(batches, start=start):
             documents = [np.frombuffer(i.as_buffer(), "<u2").astype(np.int64) for b in batches for i in b.column("ids")]
@@ -178,7 +178,7 @@ def partial_scores(docs: DataFrame, counts: Counts, params: dict[str, np.ndarray
 
     ``base`` and ``model`` are log10; ``rare`` holds the words whose counts are not broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((counts, params))
+    shared = Shared(docs.sparkSession, (counts, params))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, params = shared.value

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import Memo, fold, hash64, list_array, map_batches, read_table, utf8_of
+from hourtally.llm.common import Memo, Shared, fold, hash64, list_array, map_batches, read_table, utf8_of
 
 MAX_TRAINING_ROWS = 20_000  # labelled texts in expectation, drawn by a hash of their ids
 MAX_TERMS = 1 << 17  # rows of parameters
@@ -207,7 +207,7 @@ def _places(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 def _scorer(spark: SparkSession, machine: Machine):
-    shared = spark.sparkContext.broadcast(machine)
+    shared = Shared(spark, machine)
     state = {}
 
     def score(texts: list[bytes]) -> np.ndarray:

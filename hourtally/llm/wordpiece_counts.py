@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from hourtally.llm.bpe_trie import byte_of_letter, tokenizer_path
-from hourtally.llm.common import Memo, map_batches, read_table, utf8_of
+from hourtally.llm.common import Memo, Shared, map_batches, read_table, utf8_of
 
 VOCABULARY = "byte_bpe_50k.json"
 MARKER = b" "
@@ -106,7 +106,7 @@ def load_pieces(path: str) -> set[bytes]:
 
 def piece_counts(docs: DataFrame, pieces: set[bytes], marker: bytes = MARKER) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown`` of every row; an unknown word is one token."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(pieces))
+    shared = Shared(docs.sparkSession, Automaton.build(pieces))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = shared.value  # one object in all tasks of a Python worker
