@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import Memo, Shared, map_batches, read_table
+from hourtally.llm.common import KEPT_BYTES, Memo, Shared, map_batches, read_table
 
 # Fixed value: the pattern that cuts a text into the words of this tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -213,6 +213,7 @@ class Encoder:
         self.most = 400_000
         self.words: dict = {}
         self.pieces: dict = {}
+        self.long: list = []  # pieces and words too long to be kept beyond a batch
 
     def cut(self, text: str) -> list:
         """Keys of a text's pieces: a string, preceded by a space where its flag is set, or a special token."""
@@ -250,7 +251,11 @@ class Encoder:
         encoded = self.bpe.encode_words(list(missing.values()), self.pairs, self.nodes)
         for word, raw in missing.items():
             words[word] = self.packed(encoded[raw])
+            if len(raw) > KEPT_BYTES:
+                self.long.append((words, word))
         for key, key_words in cuts.items():
+            if len(key if type(key) is str else key[0]) > KEPT_BYTES:
+                self.long.append((pieces, key))
             if len(key_words) == 1:
                 pieces[key] = words[key_words[0]]
             else:
@@ -272,6 +277,9 @@ class Encoder:
             parts = list(map(find, cut))
             ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
             out.append((ids, ",".join([p[1] for p in parts])))
+        for kept, key in self.long:
+            kept.pop(key, None)
+        self.long.clear()
         return out
 
     def decode(self, ids) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # A word is a run of anything but these white-space characters. On UTF-8 bytes
 # ``split()`` cuts at exactly these, and ``lower()`` changes exactly A-Z.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+KEPT_BYTES = 64  # longest word that caches keep
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,9 @@ class Memo(dict):
     """A bounded cache of ``make(key)``: two generations of ``limit`` entries each.
 
     A key that is used again moves to the young generation, so frequent keys
-    survive. The bound changes speed and never a result.
+    survive. Words of more than ``KEPT_BYTES`` bytes, as texts without spaces
+    have, are not kept, so the cache is bounded in bytes as well. The bounds
+    change speed and never a result.
     """
 
     def __init__(self, make=None, limit: int = 200_000):
@@ -58,7 +61,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put(key, value)
+        if type(key) is not bytes or len(key) <= KEPT_BYTES:
+            self.put(key, value)
         return value
 
     def put(self, key, value) -> None:
@@ -85,9 +89,14 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in pieces of about ``most`` bytes of text, so that memory stays bounded."""
-    sizes = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+def text_slices(
+    batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000, per_row: int = 0
+) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about ``most`` bytes of text, so that memory stays bounded.
+
+    Every row counts ``per_row`` bytes more, for work that needs memory even for empty texts.
+    """
+    sizes = [(n or 0) + per_row for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
     for start, stop in slices(sizes, most):
         yield batch.slice(start, stop - start)
 
@@ -97,12 +106,12 @@ def utf8_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_batches(rows: DataFrame, schema: str, work, most: int = 2_000_000) -> DataFrame:
+def map_batches(rows: DataFrame, schema: str, work, most: int = 2_000_000, per_row: int = 0) -> DataFrame:
     """``work(batch) -> record batch`` over pieces of the rows of about ``most`` bytes of ``text``."""
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, most=most):
+            for piece in text_slices(batch, most=most, per_row=per_row):
                 yield work(piece)
 
     return rows.mapInArrow(run, schema)

@@ -6,8 +6,8 @@ spherical k-means, and a text has the language of the centroid with the largest
 cosine. Below the cosine that nearly all training texts of that language reach,
 the text is marked as rejected: nearest to this language, but far from it.
 
-Centroids and document frequencies are fitted on the driver to a bounded sample;
-prediction is one pass over the table without a shuffle.
+Document frequencies are counted over all training texts, centroids fitted on the
+driver to a bounded sample; prediction is one pass over the table without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as
 is every text where nothing could be learned. Equal cosines go to the language
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourtally.llm.common import Shared, fold, list_array, map_batches, read_table
+from hourtally.llm.common import Shared, fold, list_array, map_batches, read_table, text_slices
 
 MAX_TRAINING_ROWS = 6_000  # in expectation and over all languages, drawn by a hash of their ids
 CENTROIDS = 4
 ROUNDS = 12
 DIMENSIONS = 1 << 13
 REJECTED_SHARE = 0.01
+PER_ROW = 1_000  # so that at most some 500 rows of counts are held at once
 UNKNOWN = "und"
 HELD_OUT = 2  # of four folds
 _LETTER = re.compile(r"[^\W\d_]")
@@ -119,17 +120,31 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, k: int = CENTROIDS)
     sample = known.where((drawn < limits[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
     schema = "doc_id long, lang string, grams array<int>, counts array<int>"
     picked = sample.select(F.col("doc_id").cast("long"), "lang", "text")
-    table = map_batches(picked, schema, work, most=500_000).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    return centroids_of(table, k)
+    table = map_batches(picked, schema, work, most=500_000, per_row=PER_ROW).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    return centroids_of(table, inverse_frequencies(known, sum(sizes.values())), k)
 
 
-def centroids_of(table: pa.Table, k: int) -> Centroids:
+def inverse_frequencies(docs: DataFrame, many: int) -> np.ndarray:
+    """The weight of every trigram by the share of all training texts that hold it."""
+
+    def run(batches):
+        held = np.zeros(DIMENSIONS, dtype=np.int64)
+        for batch in batches:
+            for piece in text_slices(batch, most=500_000, per_row=PER_ROW):
+                held += (gram_counts([x or "" for x in piece.column("text").to_pylist()]) > 0).sum(axis=0)
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["gram", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    texts_with = np.zeros(DIMENSIONS)
+    for row in counts.collect():
+        texts_with[row["gram"]] = row["n"]
+    return (np.log((1 + many) / (1 + texts_with)) + 1.0).astype(np.float32)
+
+
+def centroids_of(table: pa.Table, idf: np.ndarray, k: int) -> Centroids:
     """Centroids of a table ``lang, grams, counts``, one language after the other."""
     names = table["lang"].to_pylist()
-    texts_with = np.zeros(DIMENSIONS)
-    for chunk in table["grams"].chunks:
-        texts_with += np.bincount(np.asarray(chunk.flatten()), minlength=DIMENSIONS)
-    idf = (np.log((1 + len(names)) / (1 + texts_with)) + 1.0).astype(np.float32)
     languages = sorted(set(names))
     found, of, least = [], [], []
     for i, language in enumerate(languages):
@@ -158,7 +173,7 @@ def languages_of(docs: DataFrame, model: Centroids) -> DataFrame:
         )
 
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
-    return map_batches(docs.select("doc_id", "text"), schema, work, most=500_000)
+    return map_batches(docs.select("doc_id", "text"), schema, work, most=500_000, per_row=PER_ROW)
 
 
 def op4_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

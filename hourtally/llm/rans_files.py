@@ -16,6 +16,10 @@ beside it:
     n_docs, n_ids      its documents and ids
     data               its bytes
 
+A ``header`` table of one row beside the blocks, written last, names the vocabulary
+and holds the counts that the frequency table is made of, with a checksum, so the
+files can be read in another session.
+
 ``data`` is little-endian: the magic, n_docs, n_ids, number of checkpoints and
 number of words; doc ids and lengths; each checkpoint's place and states; the
 words; crc32 of all this.
@@ -30,6 +34,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import uuid
 import zlib
 from array import array
 
@@ -40,8 +45,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourtally.llm.bpe_trie import byte_of_letter, tokenizer_path
-from hourtally.llm.common import Shared, list_array, map_batches, read_table, utf8_of
-from hourtally.session import materialize
+from hourtally.llm.common import KEPT_BYTES, Shared, list_array, map_batches, read_table, utf8_of
+from hourtally.session import ensure_checkpoint_dir, materialize
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -57,6 +62,8 @@ NULL_ID = -(2**63)
 BLOCK_SCHEMA = pa.schema(
     [(c, pa.int64()) for c in ("part", "block", "first_id", "offset", "n_docs", "n_ids")] + [("data", pa.binary())]
 )
+BLOCKS = "part long, block long, first_id long, offset long, n_docs long, n_ids long, data binary"
+HEADER = "magic string, vocabulary string, end_id int, counts binary, crc32 long"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -204,7 +211,9 @@ class TokenEncoder(dict):
             ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in lower.encode()]))]
         else:
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        packed = self[word] = self.packed(ids)
+        packed = self.packed(ids)
+        if len(word) <= KEPT_BYTES:
+            self[word] = packed
         return packed
 
     def words(self, text: bytes) -> list[bytes]:
@@ -300,9 +309,8 @@ def encode_files(tokens: DataFrame, tables: Tables, size: int) -> DataFrame:
         if docs:
             yield block(part, turn, offset, docs, ids)
 
-    schema = "part long, block long, first_id long, offset long, n_docs long, n_ids long, data binary"
     ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, BLOCKS)
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
@@ -352,12 +360,31 @@ def read_checksums(blocks: DataFrame, tables: Tables) -> DataFrame:
     return decoded(blocks, tables, "doc_id long, start long, n_tokens long, ids_crc32 long", columns)
 
 
-def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> tuple[DataFrame, Tables]:
-    """The stored blocks of the ids of ``docs``, and the frequency tables to read them with."""
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
+    """Store the ids of ``docs`` below ``path``: ``blocks``, and last a ``header`` with all that reading needs."""
+    spark = docs.sparkSession
     _, size = read_spec(vocabulary)
     tokens = materialize(token_table(docs, vocabulary, end_id))
-    tables = Tables(id_counts(tokens, size))
-    return materialize(encode_files(tokens, tables, size)), tables
+    counts = id_counts(tokens, size).astype("<i8").tobytes()
+    encode_files(tokens, Tables(np.frombuffer(counts, "<i8")), size).write.parquet(f"{path}/blocks")
+    row = (MAGIC.decode(), vocabulary.rpartition("/")[2], end_id, counts, zlib.crc32(counts))
+    spark.createDataFrame([row], HEADER).coalesce(1).write.parquet(f"{path}/header")
+
+
+def read_token_files(spark: SparkSession, path: str) -> tuple[DataFrame, Tables]:
+    """The blocks below ``path`` and the frequency tables to read them with; ``ValueError`` if the header is damaged."""
+    header = spark.read.schema(HEADER).parquet(f"{path}/header").first()
+    counts = bytes(header["counts"])
+    if header["magic"] != MAGIC.decode() or zlib.crc32(counts) != header["crc32"]:
+        raise ValueError(f"damaged header below {path}")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), Tables(np.frombuffer(counts, "<i8"))
+
+
+def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> tuple[DataFrame, Tables]:
+    """The ids of ``docs`` written to the checkpoint folder, and opened for reading."""
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    write_token_files(docs, vocabulary, path, end_id)
+    return read_token_files(docs.sparkSession, path)
 
 
 def op3_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hourtally.llm import decision_list, gru, language_centroids, recurrent_lm, toxicity_fm
-from hourtally.llm.common import Memo
+from hourtally.llm.common import Memo, text_slices
 from hourtally.llm.queries import QUERIES
 
 
@@ -53,6 +54,43 @@ def test_machine_learns_pairs_of_terms_without_surprise(pair, monkeypatch):
     assert len(few.weights) <= 20 and few.ids.tolist() == machine.ids.tolist()
 
 
+def test_scores_equal_a_plain_sum_over_pairs():
+    random = np.random.default_rng(7)
+    machine = toxicity_fm.Machine(np.arange(9), np.arange(9), 0.3, random.normal(size=9), random.normal(size=(9, 4)))
+    texts = [[0, 3, 5], [], [8], [1, 2, 3, 4, 5, 6, 7], [2]]
+    rows, ends = np.array(sum(texts, []), dtype=np.int64), np.cumsum([len(t) for t in texts])
+    want = [
+        0.3 + sum(machine.weights[i] for i in t) + sum(machine.factors[i] @ machine.factors[j] for i in t for j in t if i < j)
+        for t in texts
+    ]
+    assert machine.raw(rows, ends) == pytest.approx(want)
+
+
+def test_document_frequencies_and_cosines_equal_plain_ones(spark):
+    texts = ["the cat", "the dog sat", "", "été", "the the", "x" * 70_000] * 3
+    plain = [language_centroids.gram_counts([t])[0] for t in texts]
+    held = np.sum([p > 0 for p in plain], axis=0)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = language_centroids.inverse_frequencies(frame, len(texts))
+    assert found == pytest.approx(np.log((1 + len(texts)) / (1 + held)) + 1, rel=1e-5)
+    centroids = np.random.default_rng(3).random((3, language_centroids.DIMENSIONS)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    model = language_centroids.Centroids(found, centroids, np.array([0, 1, 1]), ["a", "b"], np.zeros(3))
+    names, score, _ = model.predict(texts)
+    for text, counts, name, value in zip(texts, plain, names, score):
+        vector = np.log1p(counts) * found
+        cosines = centroids @ vector / max(np.linalg.norm(vector), 1e-12)
+        assert name == (["a", "b", "b"][int(cosines.argmax())] if text else "und")
+        assert value == pytest.approx(max(cosines.max(), 0) if text else 0, abs=1e-4)
+
+
+def test_many_short_texts_are_cut_by_rows(spark):
+    """Counts are dense, so rows are counted beside bytes."""
+    rows = pa.RecordBatch.from_arrays([pa.array([""] * 10_000)], names=["text"])
+    sizes = [p.num_rows for p in text_slices(rows, most=500_000, per_row=language_centroids.PER_ROW)]
+    assert sum(sizes) == 10_000 and max(sizes) <= 500
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Insults at random places of noise; the folds are those of the query."""
     random = np.random.default_rng(2)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from hourtally.llm import bpe_trie, rans_files
+from hourtally.llm.common import Memo
 from hourtally.llm.queries import QUERIES
 from hourtally.llm.wordpiece_counts import Automaton, load_pieces, piece_counts
 
@@ -100,6 +101,37 @@ def test_files_of_odd_rows(odd_docs, no_docs):
     assert rans_files.read_checksums(blocks, tables).count() == 0
 
 
+def test_files_stand_alone(spark, documents, texts, tmp_path):
+    path = str(tmp_path / "ids")
+    rans_files.write_token_files(documents, public_tokenizers.path("word_bpe_49k.json"), path)
+    blocks, tables = rans_files.read_token_files(spark.newSession(), path)
+    reference = library("word_bpe_49k.json")
+    assert {r["doc_id"]: list(r["ids"]) for r in rans_files.read_ids(blocks, tables).collect()} == {i: ids_of(t, reference) for i, t in texts.items()}
+    header = spark.read.parquet(f"{path}/header")
+    damaged = tmp_path / "damaged"
+    header.withColumn("crc32", header["crc32"] + 1).write.parquet(str(damaged / "header"))
+    with pytest.raises(ValueError):
+        rans_files.read_token_files(spark, str(damaged))
+
+
+def test_caches_keep_no_long_words():
+    """Texts without spaces are one word each; what is remembered of them is bounded in bytes."""
+    texts = ["".join(random.Random(i).choices("日本語字漢水火木金土", k=3000)) for i in range(20)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = rans_files.TokenEncoder(file.read(), 2, most=500_000)
+    reference = library("word_bpe_49k.json")
+    for text, packed in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(packed, "<u2").tolist() == ids_of(text, reference)
+    trie = bpe_trie.Encoder(bpe_trie.Bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    reference = library("byte_bpe_50k.json")
+    for text, (ids, _) in zip(texts, trie.encode(texts)):
+        assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids
+    memo = Memo(len)
+    assert [memo[t.encode()] for t in texts] == [9000] * 20 and memo[b"short"] == 5
+    for cache in (encoder, trie.words, trie.pieces, memo):
+        assert sum(len(str(k)) for k in cache) < 1_000
+
+
 def test_pieces_encode_as_in_their_text():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         encoder = rans_files.TokenEncoder(file.read(), 2, most=60)
@@ -142,9 +174,10 @@ def test_wordpiece_query(spark, sf_dir, texts):
     pieces = load_pieces(public_tokenizers.path("byte_bpe_50k.json"))
     rows = {r["doc_id"]: r for r in QUERIES["op9_wordpiece_counts"](spark, sf_dir).collect()}
     assert rows.keys() == texts.keys()
-    for i, text in list(texts.items())[:40]:
+    known = {w: greedy(b" " + w, pieces) for w in {w for text in texts.values() for w in (text or "").encode().split()}}
+    for i, text in texts.items():
         words = (text or "").encode().split()
-        assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(greedy(b" " + w, pieces) for w in words))
+        assert (rows[i]["n_words"], rows[i]["n_tokens"]) == (len(words), sum(map(known.__getitem__, words)))
 
 
 def test_wordpieces_of_odd_rows(odd_docs, no_docs):
