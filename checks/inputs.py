@@ -255,3 +255,23 @@ def write_log_files(view: DataFrame, root: str, name: Column, empty: str | None
 
     rows = view.select(key.alias("key"), line.alias("line")).repartition("key").sortWithinPartitions("key")
     rows.mapInArrow(write, "done INT").count()
+
+
+def write_bodies(batches: DataFrame, root: str) -> None:
+    """A file per batch, named by its id and type; every third name is hidden from Spark's readers."""
+    suffix = F.when(F.startswith("content_type", F.lit("application/json")), F.lit(".json")).otherwise(
+        F.when(F.col("content_type") == "text/csv", F.lit(".csv")).otherwise(F.lit(".xml"))
+    )
+    hidden = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit("in/")), (F.col("batch_id") % 3 + 1).cast("int"))
+    name = F.concat(hidden, F.col("batch_id").cast("string"), suffix)
+
+    def write(batches):
+        file_system, base = open_file_system(root)
+        file_system.create_dir(f"{base}/in", recursive=True)
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
+                with file_system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body.encode())
+        yield from ()
+
+    batches.select(name.alias("name"), "body").mapInArrow(write, "done INT").count()

@@ -199,6 +199,11 @@ FROM good GROUP BY ALL""",
     "current_hour_counts": f"""WITH {_LOGS}, running AS (
   SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-15 10:00:00' AND ts < TIMESTAMP '2024-01-15 11:00:00')
 {_counts('running')}""",
+    "arriving_batch_outcomes": f"""WITH {_batches('mixed')}
+SELECT batch_id, status, CASE WHEN status = 415 THEN replace(reason, 'xml', 'octet-stream') ELSE reason END AS reason,
+  n_records FROM outcomes""",
+    "replayed_hourly_counts": f"""WITH {_LINES}, transient AS (SELECT * FROM good WHERE event_id % 5 IN (0, 2, 3))
+{_counts('transient', 'path', '"userAgent"')}""",
     "compressed_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
     "pipeline_counters": f"""WITH {_batches('mixed')}
 SELECT 'log_batches_received_total' AS metric, count(*) FILTER (WHERE status = 202) AS value FROM outcomes

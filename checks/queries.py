@@ -17,10 +17,14 @@ from hourtally.operators.ingest import ACCEPTED, keep_when
 from hourtally.plans.compaction import compact
 from hourtally.plans.ingest import publish_batches
 from hourtally.plans.refresh import counts_path, refresh, refresh_current_hour, runs_path
+from hourtally.plans.replay import replay_consumer_letters
 from hourtally.session import ensure_checkpoint_dir, materialize
+from hourtally.sinks.dead_letters import write_consumer_dead_letters
 from hourtally.sinks.hourly_logs import encode_records, write_hourly
 from hourtally.sinks.summaries import read_counts
+from hourtally.sources.batches import bodies_of
 from hourtally.sources.hourly_logs import read_lines
+from hourtally.streaming.arrivals import take_arrivals
 from hourtally.streaming.ingest import start_ingest
 
 HOUR = datetime(2024, 1, 15, 10, 30)
@@ -345,6 +349,51 @@ def current_hour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_hour_text(counts.where(F.col("dim") != "listed"), "dim", "key", "requests")
 
 
+def arriving_batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that arrive as files in two deliveries, every third one hidden, and what becomes of each."""
+    folder = _fresh_folder(spark)
+    batches = inputs.raw_batches(spark, sf_dir, "mixed")
+    outcomes = []
+
+    def handle(files: DataFrame, number: int) -> None:
+        bodies = bodies_of(files, inputs.BODY_LIMIT)
+        decoded = ingest.batch_outcomes(bodies, inputs.BODY_LIMIT).select("batch_id", "status", "reason", "records")
+        outcomes.append(materialize(decoded))
+
+    for number in range(2):
+        inputs.write_bodies(batches.where(F.col("batch_id") % 2 == number), f"{folder}/bodies")
+        take_arrivals(spark, f"{folder}/bodies", f"{folder}/state", handle)
+    found = outcomes[0].unionByName(outcomes[1])
+    return found.select(
+        F.regexp_extract("batch_id", r"([0-9]+)\.[a-z]+\z", 1).cast("bigint").alias("batch_id"),
+        F.col("status").cast("bigint").alias("status"),
+        "reason",
+        F.coalesce(F.array_size("records"), F.lit(0)).cast("bigint").alias("n_records"),
+    )
+
+
+def replayed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of every record, replayed into a store that fails by turns; those of passing failures are counted."""
+    folder = _fresh_folder(spark)
+    write_consumer_dead_letters(_consumer_letters(spark, sf_dir), f"{folder}/dead")
+    calls = []
+
+    def store(records: DataFrame, staged: str) -> None:
+        write_hourly(records, staged)
+        calls.append(staged)
+        if len(calls) % 2:
+            raise OSError("dial tcp: connection refused")
+
+    for _ in range(3):
+        try:
+            replay_consumer_letters(spark, f"{folder}/dead", f"{folder}/logs", f"{folder}/ledger", store)
+        except OSError:
+            pass  # stored by the next call
+    decoded = lines.decode_lines(read_lines(spark, f"{folder}/logs"))
+    counted = lines.count_decoded(decoded, "token").withColumn("hour", keys.hour_of_token(F.col("token")))
+    return _with_hour_text(counted, "dim", "key", "requests")
+
+
 def compressed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly logs as gzip files, counted without a refresh."""
     folder = _fresh_folder(spark)
@@ -409,6 +458,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         twice_written_counts,
         compacted_hourly_counts,
         current_hour_counts,
+        arriving_batch_outcomes,
+        replayed_hourly_counts,
         compressed_hourly_counts,
         pipeline_counters,
     )

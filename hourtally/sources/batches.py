@@ -56,13 +56,27 @@ def read_body_files(spark: SparkSession, folder: str, max_body_bytes: int = MAX_
     return reduce(DataFrame.unionByName, parts)
 
 
+def bodies_of(files: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """``batch_id, content_type, body, body_bytes`` of listed files ``key, bytes``, each read in a task.
+
+    As ``read_body_files``, for the files of a listing: too large ones are not read.
+    """
+    size = F.col("bytes")
+    unread = files.where((size == 0) | (size > max_body_bytes)).select(F.col("key").alias("batch_id"), size.alias("body_bytes"))
+    empty = F.when(F.col("body_bytes") == 0, F.lit(""))
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    texts = read_hidden_texts(files.where((size > 0) & (size <= max_body_bytes)).select("key").repartition(tasks, "key"))
+    known = texts.select(F.col("key").alias("batch_id"), "body", F.octet_length("body").cast("long").alias("body_bytes"))
+    return _unread(unread, empty).unionByName(_unread(known, F.col("body")))
+
+
 def stream_body_files(
     spark: SparkSession, folder: str, files_per_batch: int = 1000, max_body_bytes: int = MAX_BODY_BYTES
 ) -> DataFrame:
     """The same as a stream of arriving files, too large ones included.
 
-    Spark's streams of files show neither empty nor hidden ones; a run of
-    ``read_body_files`` over the folder finds those.
+    Spark's streams of files show neither empty nor hidden ones;
+    ``hourtally.streaming.arrivals`` takes those as well.
     """
     bodies = _bodies(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, max_body_bytes)
     listed = (

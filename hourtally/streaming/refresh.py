@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hourtally.operators.counting import tumbling_counts
 from hourtally.operators.freshness import log_objects
 from hourtally.plans.refresh import RefreshReport, refresh
+from hourtally.sources.listing import literal_path
 
 LOG = logging.getLogger(__name__)
 
@@ -62,7 +63,8 @@ def start_refresh_on_arrival(
     """Refresh the days in which new log files appear.
 
     For layouts whose files never change once written: the stream sees a file
-    once. Only the days touched by a micro-batch are listed, and within them
+    once, and no empty or hidden one, which ``arrivals.refresh_arrivals`` takes as
+    well. Only the days touched by a micro-batch are listed, and within them
     only stale hours are read.
     """
     schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -70,7 +72,7 @@ def start_refresh_on_arrival(
         spark.readStream.format("binaryFile")
         .schema(schema)
         .option("recursiveFileLookup", "true")
-        .load(logs_root)
+        .load(literal_path(logs_root))
         .select(
             F.col("path").alias("key"),
             F.col("modificationTime").alias("modified"),
