@@ -13,20 +13,25 @@ With the defaults a pair at exactly 0.8 is missed with probability below 1e-6;
 nothing else is dropped.
 
 A posting list is never turned into all its pairs. First its members are
-compared with a few hubs of the list, which joins groups of near copies. What
-still shares a list with another component is compared across components by the
-rarest shingles of the full sets, where the sizes give a bound that a signature
-cannot; those pairs, too, must collide in ``match`` coordinates.
+compared with a few hubs of the list; the first hub is the member whose values
+most others share, which is near the middle of a group of near copies, so most
+of such a group is joined at once. What still shares a list with another
+component is compared by how it differs from the list's first hub: sets X and Y
+that differ from hub H in D(X) and D(Y) differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)|
+shingles. What near copies have in common is in no difference, and a bound by
+sizes and by the differences that anyone shares tells most classes apart from
+all others without a pair. This step is exact; its pairs need no collisions.
 
 Defined results: null and empty texts have no shingles and no links. A null
 ``doc_id`` is linked with nothing and has no component. Rows repeated with one
-``doc_id`` are one document and share its outcome. Columns other than ``doc_id``
-and ``text`` are not looked at.
+``doc_id`` share its outcome if their texts are equal; rows with one ``doc_id``
+and different texts are documents of their own, each in the component of its text.
+Columns other than ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourtally.llm.common import read_table
@@ -37,42 +42,54 @@ from hourtally.session import materialize
 COORDINATES = 64
 MATCH = 34
 HUBS = 3
-BAND = 1.02  # ratio of the sizes of a size band
-# Ids that are broadcast to pick candidate texts: 8 bytes each, some 40 MB as a
-# hash relation. More ids are joined by a shuffle.
-MAX_BROADCAST_IDS = 500_000
+SALTS = 8  # parts of the lists and hubs that most rows may be joined with
 
 
 def prefix_posts(classes: DataFrame, coordinates: int, match: int) -> DataFrame:
-    """``key, rep``: each class under its rarest shared values, as many as can matter.
+    """``key, digest, weight``: each class under its rarest shared values, as many as can matter.
 
     A value of one class alone counts as one of its rarest but is not posted. A
-    class with fewer than ``match`` shared values has no partner.
+    class with fewer than ``match`` shared values has no partner. The weight is
+    the number of collisions of a class with all others.
     """
-    posts = classes.select("rep", F.posexplode("signature").alias("at", "value")).select(
-        "rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key")
+    posts = classes.select("digest", F.posexplode("signature").alias("at", "value")).select(
+        "digest", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key")
     )
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = Window.partitionBy("rep")
+    own = Window.partitionBy("digest")
     return (
         posts.join(shared, "key")
         .withColumn("turn", F.row_number().over(own.orderBy("n", "key")))
         .withColumn("shared", F.count(F.lit(1)).over(own))
+        .withColumn("weight", F.sum("n").over(own))
         .where(F.col("turn") <= F.col("shared") - (match - 1))
-        .select("key", "rep")
+        .select("key", "digest", "weight")
     )
 
 
-def hub_pairs(posts: DataFrame, hubs: int) -> DataFrame:
-    """Every member of a list with its hubs: the least ids under some seeded orders, the first by id."""
+def _salt(column: str = "digest") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def list_hubs(posts: DataFrame, hubs: int) -> DataFrame:
+    """``key, salt, hub0, hub1, ...``: the weightiest member of each list, then the least under seeded orders."""
 
     def hub(i):
-        return F.min("rep") if i == 0 else F.min_by("rep", F.xxhash64("rep", F.lit(i)))
+        return F.max_by("digest", F.struct("weight", "digest")) if i == 0 else F.min_by("digest", F.xxhash64("digest", F.lit(i)))
 
-    names = [f"hub{i}" for i in range(hubs)]
-    lists = posts.groupBy("key").agg(*[hub(i).alias(n) for i, n in enumerate(names)])
-    joined = posts.join(lists, "key").select("rep", F.explode(F.array(*names)).alias("hub"))
-    return ordered_pairs(joined, "rep", "hub")
+    lists = posts.groupBy("key").agg(*[hub(i).alias(f"hub{i}") for i in range(hubs)])
+    return lists.select("*", _every_salt())
+
+
+def hub_pairs(posts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Every member of a list with the list's hubs."""
+    names = [c for c in lists.columns if c.startswith("hub")]
+    joined = posts.select("key", "digest", _salt()).join(lists, ["key", "salt"])
+    return ordered_pairs(joined.select("digest", F.explode(F.array(*names)).alias("hub")), "digest", "hub")
 
 
 def ordered_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -83,106 +100,100 @@ def ordered_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
-def open_classes(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rep, label`` of the classes that share a list with a class of another component."""
-    marked = posts.join(labels, posts["rep"] == labels["node"], "left").select(
-        "key", "rep", F.coalesce("label", "rep").alias("label")
+def open_members(posts: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hub, digest, label`` of the members of lists that hold more than one component, with the first hub."""
+    marked = posts.join(labels, posts["digest"] == labels["node"], "left").select(
+        "key", "digest", _salt(), F.coalesce("label", "digest").alias("label")
     )
-    lists = marked.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    return marked.join(lists.where("least < most"), "key").select("rep", "label").distinct()
-
-
-def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the given classes ``rep, label`` in different components that may be similar.
-
-    Sets of n and m shingles that are similar enough have at least
-    ``percent / (100 + percent) * (n + m)`` in common, so they share one of as
-    many of their rarest shingles as this leaves. The larger set of a pair looks
-    under (shingle, size band) for each band that its partner can be in, the
-    smaller one is posted in its own, which makes the bound as sharp as the sizes
-    allow: what near copies have in common lies beyond it for those with too many
-    changes. Within a list only pairs with a member outside its largest
-    component are formed.
+    ends = marked.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    still = lists.select("key", "salt", F.col("hub0").alias("hub")).join(ends.select("key"), "key", "left_semi")
+    return marked.join(still, ["key", "salt"]).select("hub", "digest", "label").distinct()
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, digest, label, n, m, d, diff``: in which shingles the sets of n shingles differ from their hub's m."""
+    salted = members.select("*", _salt()).join(sets, "digest")
+    hubs = sets.select(F.col("digest").alias("hub"), F.col("shingles").alias("middle"))
+    hubs = hubs.join(members.select("hub").distinct(), "hub", "left_semi").select("*", _every_salt())
+    both = salted.join(hubs, ["hub", "salt"])
+    diff = F.concat(F.array_except("shingles", "middle"), F.array_except("middle", "shingles"))
+    found = both.select("hub", "digest", "label", F.size("shingles").alias("n"), F.size("middle").alias("m"), diff.alias("diff"))
+    return found.withColumn("d", F.size("diff"))
+
+
+def difference_pairs(differing: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one hub in different components that may be similar.
+
+    Sets of n and n' shingles are similar enough if they differ in at most
+    ``share`` * (n + n'), ``share`` = (100 - percent) / (100 + percent). So their
+    differences from the hub must have at least ``need`` = (d + d' - share * (n + n')) / 2
+    shingles in common, and one of them is further from the hub than a link: two
+    that are linked with it are in one component. A set shares one of as many
+    of its rarest differences as the least ``need`` of any partner leaves.
     """
-    share = percent / (100 + percent)
-    rows = classes.join(sets, classes["rep"] == sets["doc_id"]).select("rep", "label", "shingles")
-    elements = rows.select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    own = Window.partitionBy("rep")
-    turn = F.row_number().over(own.orderBy("f", "shingle"))
-    placed = materialize(
-        elements.join(often, "shingle")
-        .withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + turn)
-        .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-6) + 1)
-        .drop("f")
+    share = (100 - percent) / (100 + percent)
+    keys = ["hub", "shingle"]
+    far = (100 + percent) * F.col("d") > (100 - percent) * (F.col("n") + F.col("m"))
+    elements = differing.withColumn("far", far).select("hub", "digest", "label", "n", "m", "d", "far", F.explode("diff").alias("shingle"))
+    often = elements.groupBy(*keys).agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("hub", "digest")
+    ranked = (
+        elements.join(often, keys)
+        .withColumn("s", F.count(F.lit(1)).over(own))
+        .withColumn("at", F.col("d") - F.col("s") + F.row_number().over(own.orderBy("f", "shingle")))
     )
-
-    def band(size):
-        return F.floor(F.log(size) / F.log(F.lit(BAND)) + 1e-9).cast("int")
-
-    def needed(n, m):
-        return F.ceil(share * (n + m) - 1e-6)
-
-    n, at = F.col("n"), F.col("at")
-    posted = placed.where(at <= n - needed(n, n) + 1).withColumn("band", band(n))
-    bands = F.explode(F.sequence(band(F.greatest(n * percent / 100 - 1, F.lit(1))), band(n))).alias("band")
-    low = F.floor(F.pow(F.lit(BAND), F.col("band")) - 1e-6)
-    looking = placed.select("*", bands).where(at <= n - needed(n, F.greatest(low, F.floor(n * percent / 100))) + 1)
-    keys = ["shingle", "band"]
-    both = posted.select(*keys, "rep", "label").unionByName(looking.select(*keys, "rep", "label"))
-    sizes = both.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = (
-        sizes.groupBy(*keys)
-        .agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-        .drop("labels")
+    d, n, m = F.col("d"), F.col("n"), F.col("m")
+    closest = F.when(F.col("far"), d - share * (n + m)).otherwise(d + share * (m - n)) / 2
+    least = F.ceil(F.greatest(closest, d - share * n * (1 + 100 / percent), F.lit(1.0)) - 1e-6)
+    placed = materialize(ranked.where(F.col("at") <= d - least + 1).drop("f", "m"))
+    # What the best partner in the group can make up for decides whether a member has any.
+    gain = 2 * F.col("s") - d + share * n
+    best = materialize(
+        placed.groupBy("hub").agg(F.max(gain).alias("best"), F.max(F.when(F.col("far"), gain)).alias("best_far"))
     )
+    limit = F.when(F.col("far"), F.col("best")).otherwise(F.col("best_far"))
+    useful = placed.join(best, "hub").where(d - share * n <= limit + 1e-6).drop("best", "best_far")
 
     def side(rows, name):
-        columns = [F.col(c).alias(f"{name}_{c}") for c in ("rep", "label", "n", "at")]
-        return rows.join(largest, keys).select(*keys, *columns, (F.col("label") != F.col("largest")).alias(f"{name}_out"))
-
-    small, large = materialize(side(posted, "s")), materialize(side(looking, "l"))
-    least = needed(F.col("s_n"), F.col("l_n"))
-
-    def met(small, large):
-        columns = ["s_rep", "l_rep", "s_n", "l_n", "s_at", "l_at"]
-        return small.join(large, keys).select("s_label", "l_label", *columns).where(
-            (F.col("s_label") != F.col("l_label"))
-            & (F.col("s_n") <= F.col("l_n"))
-            & (100 * F.col("s_n") >= percent * F.col("l_n"))
-            & (F.col("s_at") <= F.col("s_n") - least + 1)
-            & (F.col("l_at") <= F.col("l_n") - least + 1)
-        ).select(*columns)
-
-    found = met(small.where("s_out"), large).union(met(small.where("not s_out"), large.where("l_out")))
-    # What a pair shares of its rarest shingles is counted; behind the last of them it can share no
-    # more than what is left of either set.
-    counted = found.groupBy("s_rep", "l_rep", "s_n", "l_n").agg(
-        F.count(F.lit(1)).alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at")
+        return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("digest", "label", "n", "d", "s", "at", "far")])
+
+    useful = materialize(useful)
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    need = F.ceil((x("d") + y("d") - share * (x("n") + y("n"))) / 2 - 1e-6)
+    met = side(useful.where("far"), "x").join(side(useful, "y"), keys).where(
+        (x("label") != y("label"))
+        & (~y("far") | (x("digest") < y("digest")))
+        & (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
+        & (F.least(x("s"), y("s")) >= need)
+        & (x("at") <= x("d") - need + 1)
+        & (y("at") <= y("d") - need + 1)
     )
-    most = F.col("met") + F.least(F.col("s_n") - F.col("s_at"), F.col("l_n") - F.col("l_at"))
-    return ordered_pairs(counted.where(most >= least), "s_rep", "l_rep")
+    pair = ["hub", *[f"{name}_{c}" for name in "xy" for c in ("digest", "n", "d")]]
+    counted = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("met"), F.max("x_at").alias("x_at"), F.max("y_at").alias("y_at"))
+    most = F.col("met") + F.least(x("d") - x("at"), y("d") - y("at"))
+    return ordered_pairs(counted.where(most >= need), "x_digest", "y_digest")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that collide often enough and whose full sets are similar enough."""
+    """The pairs ``a, b`` that collide ``match`` times and whose full sets are similar enough."""
 
     def side(name):
         return classes.select(
-            F.col("rep").alias(name), F.col("signature").alias(f"{name}_sig"), F.col("n_shingles").alias(f"{name}_n")
+            F.col("digest").alias(name), F.col("signature").alias(f"{name}_sig"), F.col("n_shingles").alias(f"{name}_n")
         )
 
     def whole(name):
-        return sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
-
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        .where(F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda same: same)) >= match)
-        .select("a", "b")
-    )
+        return sets.select(F.col("digest").alias(name), F.col("shingles").alias(f"{name}_set"))
+
+    near = pairs
+    if match:
+        near = (
+            pairs.join(side("a"), "a")
+            .join(side("b"), "b")
+            .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+            .where(F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda same: same)) >= match)
+            .select("a", "b")
+        )
     common = F.size(F.array_intersect("a_set", "b_set"))
     return (
         materialize(near)
@@ -212,23 +223,27 @@ def near_duplicates(
     classes = materialize(
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature"), "doc_id").alias("of"))
-        .select("digest", "rep", "of.*")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
     posts = materialize(prefix_posts(classes, coordinates, match))
-    ids = materialize(posts.select(F.col("rep").alias("doc_id")).distinct())
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = materialize(full_sets(chosen, shingle_words).dropDuplicates(["doc_id"]))
-    links = materialize(confirmed(hub_pairs(posts, hubs), classes, sets, match, percent))
+    lists = materialize(list_hubs(posts, hubs))
+    posted = materialize(classes.join(posts, "digest", "left_semi").select("digest", F.col("rep").alias("doc_id")))
+    chosen = docs.select("doc_id", "text").join(posted.select("doc_id").distinct(), "doc_id", "left_semi")
+    whole = full_sets(chosen, shingle_words).join(posted.select("digest"), "digest", "left_semi")
+    sets = materialize(whole.groupBy("digest").agg(F.first("shingles").alias("shingles")))
+    links = materialize(confirmed(hub_pairs(posts, lists), classes, sets, match, percent))
     first = materialize(components(links))
-    rest = materialize(open_classes(posts, first))
-    more = materialize(confirmed(cross_pairs(rest, sets, percent), classes, sets, match, percent))
-    labels = first if more.isEmpty() else components(links.unionByName(more))
-    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        "digest", F.coalesce("label", "rep").alias("component")
+    differing = materialize(differences(open_members(posts, lists, first), sets))
+    near = differing.where((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("m")))
+    further = confirmed(difference_pairs(differing, percent), classes, sets, 0, percent)
+    more = materialize(ordered_pairs(near, "hub", "digest").unionByName(further))
+    labels = first if more.isEmpty() else materialize(components(links.unionByName(more)))
+    of_class = classes.join(labels, classes["digest"] == labels["node"], "left").select(
+        "digest", "rep", F.coalesce("label", "digest").alias("label")
     )
-    joined = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    smallest = of_class.groupBy("label").agg(F.min("rep").alias("component"))
+    named = of_class.join(smallest, "label").select("digest", "component")
+    joined = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", label.alias("component_id"))
 
@@ -236,14 +251,11 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents of a component but its smallest id.
 
-    Those that go are few beside those that stay: rows are left where they are
-    if the ids that go are few enough to broadcast, and joined by a shuffle
-    beyond. Rows with a null ``doc_id`` stay.
+    Those that go are few beside those that stay, so Spark may broadcast their
+    ids. Rows with a null ``doc_id`` stay.
     """
     gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialize(gone)
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def set_signatures(docs: DataFrame, length: int, coordinates: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(utf8_of(batch), length, memo)
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        digests = [_digest(s) if len(s) else None for s in sets]
         rows = iter(signatures_of(sets, coordinates).tolist())
         return pa.RecordBatch.from_arrays(
             [
@@ -92,8 +92,12 @@ def set_signatures(docs: DataFrame, length: int, coordinates: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), schema, work)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def full_sets(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, shingles``: the whole set of every document."""
+    """``digest, shingles``: the whole set of every document, named as by ``set_signatures``."""
     memo = Memo(hash64)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,7 +105,7 @@ def full_sets(docs: DataFrame, length: int) -> DataFrame:
         offsets = np.cumsum([0, *(len(s) for s in sets)])
         values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), list_array(values, offsets)], names=["doc_id", "shingles"]
+            [pa.array(map(_digest, sets), pa.binary()), list_array(values, offsets)], names=["digest", "shingles"]
         )
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, shingles array<long>", work)
+    return map_batches(docs.select("doc_id", "text"), "digest binary, shingles array<long>", work)

@@ -118,6 +118,48 @@ def test_near_duplicates_of_edited_copies(spark):
         assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
+def group_of_near_copies(many, seed=4):
+    """Copies of one text with one to six words replaced: alike, and only partly linked."""
+    random.seed(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(many):
+        words = list(base)
+        for at in random.sample(range(150), random.choice((1, 1, 2, 3, 4, 5, 6))):
+            words[at] = f"n{random.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_pairs_of_near_copies_grow_with_their_group(spark, monkeypatch):
+    pairs = []
+    real = near.confirmed
+    monkeypatch.setattr(near, "confirmed", lambda found, *rest: pairs.append(found.count()) or real(found, *rest))
+    totals = []
+    for many in (300, 600, 1200):
+        pairs.clear()
+        found = near.near_duplicates(spark.createDataFrame(group_of_near_copies(many), "doc_id long, text string")).collect()
+        assert len(found) == many
+        totals.append(sum(pairs))
+    assert totals[1] < 2.6 * totals[0] and totals[2] < 2.6 * totals[1]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = group_of_near_copies(250) + [(1000 + i, text + " tail of words that follows") for i, text in group_of_near_copies(60, 5)]
+    want = brute_components(brute_sets(dict(rows), 5))
+    for hubs in (1, 3):
+        found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hubs=hubs).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_one_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (7, one + " end"), (8, two + " end"), (5, one), (9, "alone")]
+    for order in (rows, rows[::-1]):
+        found = near.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
 def test_queries_against_brute_force(spark, sf_dir, texts):
     sets = brute_sets(texts, 4)
     want = brute_components(sets)
