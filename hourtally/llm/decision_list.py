@@ -29,7 +29,7 @@ from hourtally.session import materialize
 MAX_TRAINING_ROWS = 20_000  # labelled documents in expectation, drawn by a hash of their ids
 MAX_RULES = 16
 MAX_CONDITIONS = 4
-LEAST_PRECISION = 0.9  # on the documents a rule was not grown on
+LEAST_PRECISION = 0.9  # on all documents a rule covers; half of it on those it was not grown on
 LEAST_COVERED = 3
 STATISTICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
