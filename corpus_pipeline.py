@@ -1,8 +1,8 @@
 """A corpus pipeline over ``documents``: every stage reads all that its predecessor kept.
 
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` and
-returns rows with the columns of ``documents``; the last returns the encoded
-corpus. Rows with null or empty texts, repeated rows, empty tables and further
+returns rows with the columns of ``documents``; the last returns token counts and
+digests of the encoded corpus. Rows with null or empty texts, repeated rows, empty tables and further
 columns have the results that the operators' docstrings define; further columns
 are carried through all but the last stage.
 """
