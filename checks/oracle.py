@@ -204,6 +204,14 @@ SELECT batch_id, status, CASE WHEN status = 415 THEN replace(reason, 'xml', 'oct
   n_records FROM outcomes""",
     "replayed_hourly_counts": f"""WITH {_LINES}, transient AS (SELECT * FROM good WHERE event_id % 5 IN (0, 2, 3))
 {_counts('transient', 'path', '"userAgent"')}""",
+    "stream_totals": f"""WITH {_LINES}
+SELECT 'messages_total' AS metric, count(*) AS value FROM lines
+UNION ALL
+SELECT 'malformed_messages_total', count(*) FROM lines WHERE line_state <> 'ok'
+UNION ALL
+SELECT 'logs_ingested_total', count(*) FROM good WHERE event_id % 2 = 0
+UNION ALL
+SELECT 'ingest_errors_total', count(*) FROM good WHERE event_id % 2 = 1""",
     "compressed_hourly_counts": f"WITH {_LOGS} {_counts('logs')}",
     "pipeline_counters": f"""WITH {_batches('mixed')}
 SELECT 'log_batches_received_total' AS metric, count(*) FILTER (WHERE status = 202) AS value FROM outcomes

@@ -25,7 +25,7 @@ from hourtally.sinks.summaries import read_counts
 from hourtally.sources.batches import bodies_of
 from hourtally.sources.hourly_logs import read_lines
 from hourtally.streaming.arrivals import take_arrivals
-from hourtally.streaming.ingest import start_ingest
+from hourtally.streaming.ingest import start_ingest, stream_counters
 
 HOUR = datetime(2024, 1, 15, 10, 30)
 LINE_LIMIT = 400
@@ -297,6 +297,28 @@ def streamed_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_hour_text(counts.where(F.col("dim") != "listed"), "dim", "key", "requests")
 
 
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of two streams that share the messages; the store of the second fails always."""
+    folder = _fresh_folder(spark)
+    messages = inputs.log_lines(spark, sf_dir).select(
+        "value", (F.col("event_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset")
+    )
+
+    def fails(records: DataFrame, root: str) -> None:
+        raise OSError("dial tcp: connection refused")
+
+    found = []
+    for number, store in enumerate((write_hourly, fails)):
+        topic, counters_root = f"{folder}/topic-{number}", f"{folder}/counters-{number}"
+        messages.where(F.col("offset") % 2 == number).write.parquet(topic)
+        stream = spark.readStream.schema("value STRING, partition INT, offset BIGINT").option("maxFilesPerTrigger", 3).parquet(topic)
+        places = [f"{folder}/{name}-{number}" for name in ("logs", "dead", "checkpoint")]
+        query = start_ingest(stream, *places, None, store, f"totals-{uuid.uuid4().hex}", counters_root)
+        query.awaitTermination()
+        found.append(stream_counters(spark, counters_root))
+    return found[0].unionByName(found[1]).groupBy("metric").agg(F.sum("value").alias("value"))
+
+
 def _listed_counts(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Refresh what lies below ``folder`` and read the counts back."""
     refresh(spark, f"{folder}/logs", f"{folder}/analytics", **options)
@@ -460,6 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         current_hour_counts,
         arriving_batch_outcomes,
         replayed_hourly_counts,
+        stream_totals,
         compressed_hourly_counts,
         pipeline_counters,
     )

@@ -17,7 +17,7 @@ from hourtally.sinks.dead_letters import read_consumer_dead_letters
 from hourtally.sinks.hourly_logs import write_hourly
 from hourtally.sinks.topic import topic_messages
 from hourtally.sources.topic import file_messages
-from hourtally.streaming.ingest import start_ingest
+from hourtally.streaming.ingest import start_ingest, stream_counters
 from hourtally.streaming.refresh import start_periodic_refresh, start_refresh_on_arrival, windowed_counts
 
 WAIT = 120
@@ -263,3 +263,27 @@ def test_writers_share_a_session(spark, tmp_path):
         list(pool.map(lambda i: write_hourly(records(spark), str(tmp_path / f"logs{i}")), range(6)))
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
     assert sum(len(rows) for rows in stored_lines(tmp_path / "logs5").values()) == 3
+
+
+def test_totals_of_a_stream_survive_a_repetition(spark, tmp_path):
+    topic, counters = tmp_path / "topic", str(tmp_path / "counters")
+    publish(topic, "1.json", line("/1"), "bad", line("/2", ts="9999-12-31T23:59:59-01:00"), "")
+
+    def start(checkpoint, store=write_hourly):
+        return start_ingest(
+            file_messages(spark, str(topic)), str(tmp_path / "logs"), str(tmp_path / "dead"), str(tmp_path / checkpoint), None, store, "totals", counters
+        )
+
+    drain(start("checkpoint"))
+    wanted = {"messages_total": 4, "malformed_messages_total": 2, "logs_ingested_total": 1, "ingest_errors_total": 1}
+    assert {r["metric"]: r["value"] for r in stream_counters(spark, counters).collect()} == wanted
+
+    def broken(records, root):
+        raise OSError("disk write failed")
+
+    drain(start("again", broken))  # the same first micro-batch, whose totals replace the earlier ones
+    wanted |= {"logs_ingested_total": 0, "ingest_errors_total": 2}
+    assert {r["metric"]: r["value"] for r in stream_counters(spark, counters).collect()} == wanted
+    publish(topic, "2.json", line("/3"))
+    drain(start("again"))
+    assert {r["metric"]: r["value"] for r in stream_counters(spark, counters).collect()}["logs_ingested_total"] == 1
