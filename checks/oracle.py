@@ -123,6 +123,10 @@ FROM events""",
     "tumbling_hour_counts": f"""WITH {_LOGS}
 SELECT hour AS window_start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:00:00Z') AS window_end,
   path, count(*) AS requests
+FROM logs GROUP BY ALL""",
+    "windowed_stream_counts": f"""WITH {_LOGS}
+SELECT hour AS window_start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:00:00Z') AS window_end,
+  path, count(*) AS requests
 FROM logs GROUP BY ALL""",
     "batch_hour_groups": f"""SELECT event_id // 10 AS batch_id, {_HOUR} AS hour, count(*) AS records
 FROM events GROUP BY ALL""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from hourtally.sources.batches import bodies_of
 from hourtally.sources.hourly_logs import read_lines
 from hourtally.streaming.arrivals import take_arrivals
 from hourtally.streaming.ingest import start_ingest, stream_counters
+from hourtally.streaming.refresh import read_windowed_counts, start_windowed_counts
 
 HOUR = datetime(2024, 1, 15, 10, 30)
 LINE_LIMIT = 400
@@ -319,6 +320,20 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).groupBy("metric").agg(F.sum("value").alias("value"))
 
 
+def windowed_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a stream in two deliveries; the second is late for nearly all windows of the first and corrects them."""
+    folder = _fresh_folder(spark)
+    view = inputs.log_view(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for number in range(2):
+        view.where(F.col("event_id") % 2 == number).select("timestamp", "path").write.mode("append").parquet(f"{folder}/source")
+        stream = spark.readStream.schema("timestamp TIMESTAMP, path STRING").parquet(f"{folder}/source")
+        query = start_windowed_counts(stream, f"{folder}/windows", f"{folder}/checkpoint", timedelta(days=36_500), None)
+        query.awaitTermination()
+    return read_windowed_counts(spark, f"{folder}/windows").select(
+        hour_rfc3339(F.col("window_start")).alias("window_start"), hour_rfc3339(F.col("window_end")).alias("window_end"), "path", "requests"
+    )
+
+
 def _listed_counts(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Refresh what lies below ``folder`` and read the counts back."""
     refresh(spark, f"{folder}/logs", f"{folder}/analytics", **options)
@@ -483,6 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         arriving_batch_outcomes,
         replayed_hourly_counts,
         stream_totals,
+        windowed_stream_counts,
         compressed_hourly_counts,
         pipeline_counters,
     )

@@ -102,3 +102,38 @@ def windowed_counts(records: DataFrame, lateness: timedelta = timedelta(hours=1)
     may be missed; the refreshes above miss none. Use ``update`` mode.
     """
     return tumbling_counts(records.withWatermark("timestamp", f"{int(lateness.total_seconds())} seconds"))
+
+
+def start_windowed_counts(
+    records: DataFrame,
+    root: str,
+    checkpoint: str,
+    lateness: timedelta = timedelta(hours=1),
+    interval: str | None = REFRESH_INTERVAL,
+) -> StreamingQuery:
+    """Keep the ``windowed_counts`` of a stream below ``root``; late records within ``lateness`` correct their window.
+
+    A micro-batch writes the windows it changed into a folder of its own, which
+    a repetition replaces; ``read_windowed_counts`` takes the newest of each.
+    """
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_id}")
+
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    return (
+        windowed_counts(records, lateness)
+        .writeStream.outputMode("update")
+        .foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def read_windowed_counts(spark: SparkSession, root: str) -> DataFrame:
+    """``window_start, window_end, path, requests`` as of the newest micro-batch that changed each."""
+    schema = "window_start TIMESTAMP, window_end TIMESTAMP, path STRING, requests BIGINT, batch BIGINT"
+    stored = spark.read.schema(schema).parquet(literal_path(root))
+    keys = ["window_start", "window_end", "path"]
+    return stored.groupBy(*keys).agg(F.max_by("requests", "batch").alias("requests"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +18,13 @@ from hourtally.sinks.hourly_logs import write_hourly
 from hourtally.sinks.topic import topic_messages
 from hourtally.sources.topic import file_messages
 from hourtally.streaming.ingest import start_ingest, stream_counters
-from hourtally.streaming.refresh import start_periodic_refresh, start_refresh_on_arrival, windowed_counts
+from hourtally.streaming.refresh import (
+    read_windowed_counts,
+    start_periodic_refresh,
+    start_refresh_on_arrival,
+    start_windowed_counts,
+    windowed_counts,
+)
 
 WAIT = 120
 
@@ -218,6 +224,24 @@ def test_stream_window(spark, tmp_path):
     assert {(r["window_start"].hour, r["path"]): r["requests"] for r in batch} == got
 
 
+def test_late_records_correct_their_window(spark, tmp_path):
+    source, root = str(tmp_path / "source"), str(tmp_path / "windows")
+    schema = "timestamp timestamp, path string, userAgent string"
+
+    def deliver(*rows):
+        records(spark, list(rows)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        drain(start_windowed_counts(stream, root, str(tmp_path / "checkpoint"), timedelta(hours=2), None))
+        return {(r["window_start"].hour, r["path"]): r["requests"] for r in read_windowed_counts(spark, root).collect()}
+
+    first = deliver(("2025-01-02T03:30:00Z", "/a", "u"), ("2025-01-02T04:30:00Z", "/a", "u"))
+    assert first == {(3, "/a"): 1, (4, "/a"): 1}
+    second = deliver(("2025-01-02T03:59:59Z", "/a", "u"), ("2025-01-02T03:00:00Z", "/b", "u"), ("2025-01-02T05:30:00Z", "/a", "u"))
+    assert second == {(3, "/a"): 2, (3, "/b"): 1, (4, "/a"): 1, (5, "/a"): 1}
+    # Two hours behind the newest record the window is closed; a refresh would still take these.
+    assert deliver(("2025-01-02T02:10:00Z", "/a", "u"), ("2025-01-02T05:40:00Z", "/a", "u")) == second | {(5, "/a"): 2}
+
+
 def test_topic_round_trip(spark, tmp_path):
     """What the topic sink encodes, the topic source decodes."""
     values = [row["value"] for row in topic_messages(records(spark)).collect()]
