@@ -20,7 +20,7 @@ duckdb = pytest.importorskip("duckdb")
 def test_all_queries_are_registered():
     assert {*QUERIES, "pipeline"} <= driver.queries().keys()
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES}
-    assert numbers == set(range(1, 11)) and len(QUERIES) == 10
+    assert numbers == set(range(1, 14)) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", ORACLE)
