@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from dataclasses import dataclass, field
 from itertools import chain, filterfalse
 
@@ -211,7 +210,8 @@ class Encoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         # Words and pieces are kept until there are more than this many.
         self.most = 400_000
-        self.words: dict = {}
+        # Values are the ids as they are written, with commas: one small string an entry.
+        self.words: dict[str, str] = {}
         self.pieces: dict = {}
         self.long: list = []  # pieces and words too long to be kept beyond a batch
 
@@ -233,38 +233,43 @@ class Encoder:
         return [(first, False), *rest] if first else rest
 
     def learn(self, keys: set) -> None:
-        """Adds the packed ids, and the ids with commas, of new pieces."""
+        """Adds the written ids of new pieces.
+
+        A word of letters after a space is the piece of these letters and kept as such
+        alone, so most words are kept once.
+        """
         if len(self.words) > self.most:
             self.words.clear()
         words, pieces, findall = self.words, self.pieces, self.pattern.findall
-        cuts = {}
+        cuts, missing = {}, {}
         for key in keys:
             if type(key) is str:
-                key_words = (" " + key,) if key.isalpha() else findall(" " + key)
+                if key.isalpha():
+                    missing[" " + key] = key
+                    continue
+                cuts[key] = findall(" " + key)
             elif key[1] is None:
-                pieces[key] = self.packed((self.bpe.special[key[0]],))
-                continue
+                pieces[key] = str(self.bpe.special[key[0]])
             else:
-                key_words = findall(key[0])
-            cuts[key] = key_words
-        missing = {word: word.encode() for word in chain.from_iterable(cuts.values()) if word not in words}
-        encoded = self.bpe.encode_words(list(missing.values()), self.pairs, self.nodes)
-        for word, raw in missing.items():
-            words[word] = self.packed(encoded[raw])
-            if len(raw) > KEPT_BYTES:
-                self.long.append((words, word))
+                cuts[key] = findall(key[0])
+        for word in chain.from_iterable(cuts.values()):
+            letters = word[1:]
+            if word[0] == " " and letters.isalpha():
+                if letters not in pieces:
+                    missing[word] = letters
+            elif word not in words:
+                missing[word] = None
+        raw = {word: word.encode() for word in missing}
+        encoded = self.bpe.encode_words(list(raw.values()), self.pairs, self.nodes)
+        for word, letters in missing.items():
+            kept, key = (words, word) if letters is None else (pieces, letters)
+            kept[key] = ",".join(map(str, encoded[raw[word]]))
+            if len(raw[word]) > KEPT_BYTES:
+                self.long.append((kept, key))
         for key, key_words in cuts.items():
             if len(key if type(key) is str else key[0]) > KEPT_BYTES:
                 self.long.append((pieces, key))
-            if len(key_words) == 1:
-                pieces[key] = words[key_words[0]]
-            else:
-                parts = [words[word] for word in key_words]
-                pieces[key] = b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts])
-
-    @staticmethod
-    def packed(ids) -> tuple[bytes, str]:
-        return array("i", ids).tobytes(), ",".join(map(str, ids))
+            pieces[key] = ",".join([pieces[w[1:]] if w[0] == " " and w[1:].isalpha() else words[w] for w in key_words])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """The ids of each text, and the same ids written with commas."""
@@ -274,9 +279,8 @@ class Encoder:
         self.learn(set(filterfalse(self.pieces.__contains__, chain.from_iterable(cuts))))
         out, find = [], self.pieces.__getitem__
         for cut in cuts:
-            parts = list(map(find, cut))
-            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-            out.append((ids, ",".join([p[1] for p in parts])))
+            written = ",".join(map(find, cut))
+            out.append((np.fromstring(written, np.int32, sep=",") if written else np.empty(0, np.int32), written))
         for kept, key in self.long:
             kept.pop(key, None)
         self.long.clear()

@@ -107,12 +107,17 @@ def utf8_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def map_batches(rows: DataFrame, schema: str, work, most: int = 2_000_000, per_row: int = 0) -> DataFrame:
-    """``work(batch) -> record batch`` over pieces of the rows of about ``most`` bytes of ``text``."""
+    """``work(batch) -> record batch`` over pieces of the rows of about ``most`` bytes of ``text``.
+
+    A batch is let go before the next one is read, and its memory goes back to the
+    system: a Python worker lives on between tasks, beside those of later stages.
+    """
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, most=most, per_row=per_row):
-                yield work(piece)
+            yield from map(work, text_slices(batch, most=most, per_row=per_row))
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

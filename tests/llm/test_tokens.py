@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hourtally.llm import bpe_trie, rans_files
-from hourtally.llm.common import Memo
+from hourtally.llm.common import Memo, map_batches
 from hourtally.llm.queries import QUERIES
 from hourtally.llm.wordpiece_counts import Automaton, load_pieces, piece_counts
 
@@ -132,6 +135,38 @@ def test_caches_keep_no_long_words():
         assert sum(len(str(k)) for k in cache) < 1_000
 
 
+def test_a_remembered_word_is_one_small_string():
+    """A word and its encoding take little memory, as two workers of an executor remember 400,000 each."""
+    words = ["".join(w) for w in itertools.product("etaoin", repeat=6)][:40_000]
+    encoder = bpe_trie.Encoder(bpe_trie.Bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    encoder.encode(["the " + " ".join(words[:100])])
+    tracemalloc.start()
+    try:
+        for start in range(0, len(words), 1000):
+            encoder.encode([" ".join(["", *words[start : start + 1000]])])
+        used = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert used / len(words) < 300
+
+
+def test_a_batch_is_let_go_before_the_next():
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    before, held = pa.total_allocated_bytes(), []
+
+    def batches():
+        for i in range(4):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}" * 1_000_000] * 4)], names=["text"])
+
+    run = map_batches(Rows(), "n long", lambda batch: pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"]))
+    assert sum(out.column("n").to_pylist()[0] for out in run(batches())) == 16
+    assert max(held) < 1_000_000
+
+
 def test_pieces_encode_as_in_their_text():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         encoder = rans_files.TokenEncoder(file.read(), 2, most=60)
