@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 from math import isqrt, log10
 
 import numpy as np
@@ -103,6 +104,12 @@ class Counts:
             self.state["numbers"] = {word: i for i, word in enumerate(self.words)}
         return self.state["numbers"]
 
+    def model_numbers(self) -> dict[bytes, int]:
+        """Word to the model's token, without words outside the vocabulary: few entries are found faster."""
+        if "model" not in self.state:
+            self.state["model"] = {word: i + 2 for i, word in enumerate(self.words[: self.size])}
+        return self.state["model"]
+
 
 def gather(counted: DataFrame, documents: int, vocabulary: int, kept: int) -> Counts:
     """Totals of a materialized table of word counts and its most frequent words."""
@@ -112,18 +119,21 @@ def gather(counted: DataFrame, documents: int, vocabulary: int, kept: int) -> Co
     return Counts(total + documents, distinct + (documents > 0), documents, words, top["n"].to_pylist(), vocabulary)
 
 
-def model_ids(text: bytes, numbers: dict[bytes, int], size: int) -> np.ndarray:
+def looked_up(words: list[bytes], numbers: dict[bytes, int], other: int, kind=np.int64) -> np.ndarray:
+    return np.fromiter(map(numbers.get, words, repeat(other)), kind, len(words))
+
+
+def model_ids(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
     """The model's tokens of a text, the end included."""
-    ranks = np.array([numbers.get(w, size) for w in text.lower().split()], dtype=np.int64)
-    return np.append(np.where(ranks < size, ranks + 2, UNKNOWN), END)
+    return np.append(looked_up(text.lower().split(), numbers, UNKNOWN, "<u2"), np.array([END], "<u2"))
 
 
 def training_ids(docs: DataFrame, shared) -> DataFrame:
     """``ids``: token numbers, two bytes each, of every document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = shared.value
-        ids = [model_ids(t, counts.numbers(), counts.size).astype("<u2").tobytes() for t in utf8_of(batch)]
+        numbers = shared.value.model_numbers()
+        ids = [model_ids(t, numbers).tobytes() for t in utf8_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, ids binary", work)
@@ -158,7 +168,7 @@ def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str,
         start = Shared(spark, params)
 
         def run(batches, start=start):
-            documents = [np.frombuffer(i.as_buffer(), "<u2").astype(np.int64) for b in batches for i in b.column("ids")]
+            documents = [np.frombuffer(i.as_buffer(), "<u2") for b in batches for i in b.column("ids")]
             if documents:
                 after, _ = gru.train(documents, start.value, END)
                 n = sum(map(len, documents))
@@ -190,7 +200,7 @@ def partial_scores(docs: DataFrame, counts: Counts, params: dict[str, np.ndarray
         ids, known, base, model, rare = [], [], [], [], []
         for text in utf8_of(batch):
             words = text.lower().split()
-            ranks = np.array([numbers.get(w, none) for w in words], dtype=np.int64)
+            ranks = looked_up(words, numbers, none)
             ids.append(np.append(np.where(ranks < counts.size, ranks + 2, UNKNOWN), END))
             known.append(int((ranks < none).sum()) + (counts.ends > 0))
             base.append(float(base_of[ranks].sum()) + end_base)

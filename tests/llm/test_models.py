@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -238,6 +239,75 @@ def test_probabilities_add_up_and_state_is_carried():
     assert together[1] == pytest.approx(gru.score_documents(documents[1:2], params, 0, window=1000)[0], abs=1e-3)
 
 
+def padded_training(documents, params, lanes, rate=0.003):
+    """Plainly: all lanes to the end of the longest, and the textbook's Adam on a clipped gradient."""
+    streams = [[] for _ in range(lanes)]
+    for document in sorted(documents, key=len, reverse=True):
+        min(streams, key=lambda s: sum(map(len, s))).append(document)
+    length = max(sum(map(len, s)) for s in streams)
+    inputs, targets = np.zeros((2, length, lanes), np.int64)
+    resets, live = np.zeros((2, length, lanes), bool)
+    for lane, stream in enumerate(streams):
+        at = 0
+        for d in stream:
+            here = slice(at, at + len(d))
+            targets[here, lane], live[here, lane], resets[at, lane] = d, True, True
+            inputs[at + 1 : at + len(d), lane] = d[:-1]
+            at += len(d)
+    first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
+    h, losses = np.zeros((lanes, gru.HIDDEN)), []
+    for turn, at in enumerate(range(0, length, gru.WINDOW), 1):
+        part = slice(at, at + gru.WINDOW)
+        loss, grads, h = gru.gradients(params, inputs[part], targets[part], resets[part], live[part], h)
+        losses.append(loss)
+        norm = max(1.0, np.sqrt(sum((g**2).sum() for g in grads.values())))
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g / norm
+            second[k] = 0.99 * second[k] + 0.01 * (g / norm) ** 2
+            step = first[k] / (1 - 0.9**turn) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
+            params = {**params, k: params[k] - rate * step}
+    return params, sum(losses) / live.sum()
+
+
+def test_training_leaves_ended_lanes_out(monkeypatch):
+    """One long document among short ones: what is learned stays the same, and few dead tokens are worked on."""
+    random = np.random.default_rng(3)
+    documents = [random.integers(0, 128, n).astype("<u2") for n in (700, *[40] * 60)]
+    start = gru.fresh(random.random(128) + 0.01)
+    want, want_loss = padded_training(documents, {k: v.astype(np.float64) for k, v in start.items()}, 8)
+    worked, windows, plain = [], [], gru.gradients
+
+    def counted(params, inputs, *rest):
+        worked.append(inputs.size)
+        windows.append(len(inputs))
+        return plain(params, inputs, *rest)
+
+    monkeypatch.setattr(gru, "gradients", counted)
+    found, loss = gru.train(documents, start, 0, lanes=8)
+    assert loss == pytest.approx(want_loss, rel=1e-5)
+    for name in gru.NAMES:
+        assert found[name] == pytest.approx(want[name], abs=2e-3)
+    assert sum(windows) == 700
+    assert sum(worked) < 1.1 * sum(map(len, documents))
+
+
+def test_windows_use_the_same_arrays_again():
+    random = np.random.default_rng(4)
+    params = gru.fresh(random.random(4096) + 0.01)
+    inputs, targets = random.integers(0, 4096, (2, 16, 64)).astype(np.uint16)
+    resets, live = np.zeros((16, 64), bool), np.ones((16, 64), bool)
+    room = gru.Room(np.float32)
+    _, grads, h = gru.gradients(params, inputs, targets, resets, live, np.zeros((64, gru.HIDDEN), np.float32), room)
+    first = {k: v.copy() for k, v in grads.items()}
+    tracemalloc.start()
+    _, _, h = gru.gradients(params, inputs[:, :5], targets[:, :5], resets[:, :5], live[:, :5], h[:5], room)
+    fresh = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fresh < 1_000_000  # the gradients alone are 1,098,368 bytes
+    _, grads, _ = gru.gradients(params, inputs, targets, resets, live, np.zeros((64, gru.HIDDEN), np.float32), room)
+    assert all((grads[k] == first[k]).all() for k in gru.NAMES)
+
+
 def brute_base(texts):
     train = {i for i in texts if i is not None and zlib.crc32(str(i).encode()) % 5 != 1}
     counts = Counter(w for i in train for w in words_of(texts[i]))
