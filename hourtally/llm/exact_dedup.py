@@ -72,9 +72,11 @@ def exact_groups(
         .where("group_size > 1")
     )
     # A row looks for its group under one of ``salts`` copies of it, so a text
-    # that is everywhere is matched by as many tasks.
+    # that is everywhere is matched by as many tasks. Spark takes the copies for
+    # as small as the groups' file and would broadcast them, all of them by way
+    # of the driver; the hint has both sides shuffled at every size.
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    same = groups.where("contents = 1").select("digest", "keep_id", "group_size", copies)
+    same = groups.where("contents = 1").select("digest", "keep_id", "group_size", copies).hint("merge")
     clashes = groups.where("contents > 1").select("digest")
     plain = rows.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     if clashes.isEmpty():

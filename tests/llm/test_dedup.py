@@ -62,6 +62,18 @@ def test_equal_digests_of_different_texts_stay_apart(odd_docs):
     assert with_weak.where("kept").count() == plain.where("kept").count()
 
 
+def test_copies_of_groups_are_not_broadcast(spark):
+    """Spark sees the file of the groups and not their copies, which the driver would have to hold."""
+    rows = [(i, f"text {i % 60}") for i in range(180)] + [(200 + i, f"alone {i}") for i in range(20)]
+    found = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found.collect()} == {
+        (i, 120 + i % 60, 3, i >= 120) for i in range(180)
+    } | {(200 + i, 200 + i, 1, True) for i in range(20)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+
+
 def test_dropping_exact_duplicates_keeps_columns_and_nulls(odd_docs, no_docs):
     kept = exact.drop_exact_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
